@@ -14,6 +14,11 @@ def spectrum(reads: DataFrame, k: int, by: list[str] | None = None) -> DataFrame
     return reads.select(*(by or []), F.explode(kmer.kmers(F.col("seq"), k)).alias("kmer")).groupBy(*(by or []), "kmer").agg(F.count("*").alias("n"))
 
 
+def _changes(minima: Column) -> Column:
+    """The minima that differ from the one before; nulls left out. Positions never go back, so no other repeats exist."""
+    return let(F.filter(minima, lambda x: x.isNotNull()), lambda m: F.filter(m, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(m, i - 1))))
+
+
 def minimizers(reads: DataFrame, k: int, w: int, hashed: Column | None = None) -> DataFrame:
     """``id, position, hi, lo``: the least hash of each window of ``w`` k-mers, leftmost of equal ones, repeats in a row once.
 
@@ -22,7 +27,7 @@ def minimizers(reads: DataFrame, k: int, w: int, hashed: Column | None = None) -
     """
     valid = F.transform(kmer.windows(F.col("seq"), k), lambda x, i: F.when(kmer.is_valid_kmer(x), F.struct(kmer.fnv1a(x).alias("h"), i.alias("position"))))
     least = let(valid, lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.size(v) - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(v, i, w))))
-    found = reads.select("id", F.array_distinct(F.filter(least, lambda x: x.isNotNull())).alias("m"))
+    found = reads.select("id", _changes(least).alias("m"))
     return found.select("id", F.explode("m").alias("m")).select("id", F.col("m.position").cast("bigint").alias("position"), F.col("m.h.hi").alias("hi"), F.col("m.h.lo").alias("lo"))
 
 
@@ -32,14 +37,14 @@ def nthash_minimizers(reads: DataFrame, k: int, w: int) -> DataFrame:
     spots = F.transform(kmer.windows(F.col("seq"), k), lambda x, i: F.struct(kmer.nthash(x, k).bitwiseXOR(flip).alias("u"), i.alias("position")))
     held = reads.where(F.length("seq") >= k + w - 1)
     least = let(spots, lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.size(v) - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(v, i, w))))
-    return held.select("id", F.explode(F.array_distinct(least)).alias("m")).select("id", F.col("m.position").cast("bigint").alias("position"), F.col("m.u").bitwiseXOR(flip).alias("hash"))
+    return held.select("id", F.explode(_changes(least)).alias("m")).select("id", F.col("m.position").cast("bigint").alias("position"), F.col("m.u").bitwiseXOR(flip).alias("hash"))
 
 
 def sliding_min(rows: DataFrame, w: int, by: str, order: str, value: str) -> DataFrame:
-    """``by, order, value, at``: minimum of each full window of ``w`` rows and where it is, leftmost of equal ones."""
+    """``by, order, value, min_at``: minimum of each full window of ``w`` rows and where it is, leftmost of equal ones."""
     if w < 1:
         raise ValueError("the window needs a width")
     over = Window.partitionBy(by).orderBy(order)
     span = over.rowsBetween(-(w - 1), 0)
     out = rows.select(by, order, F.min(F.struct(F.col(value).alias("v"), F.col(order).alias("at"))).over(span).alias("m"), F.row_number().over(over).alias("n_"))
-    return out.where(F.col("n_") >= w).select(by, order, F.col("m.v").alias("value"), F.col("m.at").alias("at"))
+    return out.where(F.col("n_") >= w).select(by, order, F.col("m.v").alias("value"), F.col("m.at").alias("min_at"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import alignment as A
@@ -36,47 +36,46 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-def _of_reads(name: str, sql: str, **columns) -> None:
-    """A projection of the reads; ``sql`` is its select list."""
-    query(name, f"WITH {READS} SELECT id, {sql} FROM reads")(lambda spark, sf: reads(spark, sf).select("id", *[c.alias(n) for n, c in columns.items()]))
+def _of_reads(name: str, sql: str, columns: Callable[[Column, Column], dict[str, Column]]) -> None:
+    """A projection of the reads' sequences and qualities; ``sql`` is its select list."""
+    query(name, f"WITH {READS} SELECT id, {sql} FROM reads")(lambda spark, sf: reads(spark, sf).select("id", *[c.alias(n) for n, c in columns(F.col("seq"), F.col("qual")).items()]))
 
 
-seq, qual = F.col("seq"), F.col("qual")
 _count = lambda b: f"(length(seq) - length(replace(seq, '{b}', '')))"
 _RC = f"reverse(translate(seq, '{S.COMPLEMENT_FROM}', '{S.COMPLEMENT_TO}'))"
 _END = "regexp_replace(qual, '[!-4]+$', '')"
 _START = "regexp_replace(qual, '^[!-4]+', '')"
-_of_reads("base_counts", ", ".join(f"{_count(b)} AS {b.lower()}" for b in "ACGT"), **{b.lower(): S.count_char(seq, b) for b in "ACGT"})
-_of_reads("gc_content", f"CASE WHEN {_count('A')} + {_count('C')} + {_count('G')} + {_count('T')} = 0 THEN 0.0 ELSE ({_count('G')} + {_count('C')})::DOUBLE / ({_count('A')} + {_count('C')} + {_count('G')} + {_count('T')}) END AS gc", gc=S.gc_content(seq))
-_of_reads("complexity", "CASE WHEN length(seq) = 0 THEN 0.0 ELSE round((" + " + ".join(f"CASE WHEN {_count(b)} > 0 THEN -({_count(b)}::DOUBLE / length(seq)) * log2({_count(b)}::DOUBLE / length(seq)) ELSE 0.0 END" for b in "ACGT") + ") / 2, 9) END AS complexity", complexity=F.round(S.complexity(seq), 9))
-_of_reads("mean_quality", f"{_MEAN} AS mean_quality", mean_quality=S.mean_quality(qual))
-_of_reads("reverse_complement", f"{_RC} AS rc, reverse(qual) AS qual", rc=S.reverse_complement(seq), qual=F.reverse(qual))
-_of_reads("complement", f"translate(seq, '{S.COMPLEMENT_FROM}', '{S.COMPLEMENT_TO}') AS complement, reverse(seq) AS reversed", complement=S.complement(seq), reversed=F.reverse(seq))
-_of_reads("validity", f"regexp_full_match(seq, '[{S.DNA}]*') AS dna, regexp_full_match(seq, '[{S.RNA}]*') AS rna, length(regexp_replace(seq, '[{S.DNA}]', '', 'g')) AS invalid", dna=S.is_valid_dna(seq), rna=S.is_valid_rna(seq), invalid=S.count_invalid(seq))
-_of_reads("trim_fixed", "substr(seq, 6) AS no_start, substr(seq, 1, greatest(length(seq) - 7, 0)) AS no_end, substr(seq, 6, greatest(length(seq) - 12, 0)) AS middle", no_start=S.trim(seq, 5), no_end=S.trim(seq, 0, 7), middle=S.trim(seq, 5, 7))
-_of_reads("trim_quality_end", f"substr(seq, 1, length({_END})) AS seq, {_END} AS qual", seq=S.trim_quality(seq, qual, 20, start=False), qual=S.trim_quality(qual, qual, 20, start=False))
-_of_reads("trim_quality_start", f"substr(seq, length(qual) - length({_START}) + 1) AS seq, {_START} AS qual", seq=S.trim_quality(seq, qual, 20, end=False), qual=S.trim_quality(qual, qual, 20, end=False))
-_of_reads("trim_quality_both", f"substr(seq, length(qual) - length({_START}) + 1, length(regexp_replace({_START}, '[!-4]+$', ''))) AS seq, regexp_replace({_START}, '[!-4]+$', '') AS qual", seq=S.trim_quality(seq, qual, 20), qual=S.trim_quality(qual, qual, 20))
-_of_reads("trim_quality_window", "CASE WHEN length(qual) = 0 THEN 0 WHEN length(qual) < 5 THEN CASE WHEN list_sum(list_transform(string_split(qual, ''), lambda c: unicode(c) - 33)) // length(qual) >= 20 THEN length(qual) ELSE 0 END ELSE coalesce(list_max(list_filter(range(5, length(qual) + 1), lambda i: (unicode(qual[i]) + unicode(qual[i - 1]) + unicode(qual[i - 2]) + unicode(qual[i - 3]) + unicode(qual[i - 4]) - 165) // 5 >= 20)), length(qual)) END::INTEGER AS keep", keep=S.window_cut(qual, 20, 5))
-_of_reads("mask_low_quality", "coalesce(array_to_string(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN unicode(qual[i]) < 53 THEN 'N' ELSE seq[i] END), ''), '') AS masked", masked=S.mask_low_quality(seq, qual, 20))
-_of_reads("count_masked", "length(seq) - length(translate(seq, 'Nn', '')) AS masked", masked=S.count_masked(seq))
+_of_reads("base_counts", ", ".join(f"{_count(b)} AS {b.lower()}" for b in "ACGT"), lambda seq, qual: dict(**{b.lower(): S.count_char(seq, b) for b in "ACGT"}))
+_of_reads("gc_content", f"CASE WHEN {_count('A')} + {_count('C')} + {_count('G')} + {_count('T')} = 0 THEN 0.0 ELSE ({_count('G')} + {_count('C')})::DOUBLE / ({_count('A')} + {_count('C')} + {_count('G')} + {_count('T')}) END AS gc", lambda seq, qual: dict(gc=S.gc_content(seq)))
+_of_reads("complexity", "CASE WHEN length(seq) = 0 THEN 0.0 ELSE round((" + " + ".join(f"CASE WHEN {_count(b)} > 0 THEN -({_count(b)}::DOUBLE / length(seq)) * log2({_count(b)}::DOUBLE / length(seq)) ELSE 0.0 END" for b in "ACGT") + ") / 2, 9) END AS complexity", lambda seq, qual: dict(complexity=F.round(S.complexity(seq), 9)))
+_of_reads("mean_quality", f"{_MEAN} AS mean_quality", lambda seq, qual: dict(mean_quality=S.mean_quality(qual)))
+_of_reads("reverse_complement", f"{_RC} AS rc, reverse(qual) AS qual", lambda seq, qual: dict(rc=S.reverse_complement(seq), qual=F.reverse(qual)))
+_of_reads("complement", f"translate(seq, '{S.COMPLEMENT_FROM}', '{S.COMPLEMENT_TO}') AS complement, reverse(seq) AS reversed", lambda seq, qual: dict(complement=S.complement(seq), reversed=F.reverse(seq)))
+_of_reads("validity", f"regexp_full_match(seq, '[{S.DNA}]*') AS dna, regexp_full_match(seq, '[{S.RNA}]*') AS rna, length(regexp_replace(seq, '[{S.DNA}]', '', 'g')) AS invalid", lambda seq, qual: dict(dna=S.is_valid_dna(seq), rna=S.is_valid_rna(seq), invalid=S.count_invalid(seq)))
+_of_reads("trim_fixed", "substr(seq, 6) AS no_start, substr(seq, 1, greatest(length(seq) - 7, 0)) AS no_end, substr(seq, 6, greatest(length(seq) - 12, 0)) AS middle", lambda seq, qual: dict(no_start=S.trim(seq, 5), no_end=S.trim(seq, 0, 7), middle=S.trim(seq, 5, 7)))
+_of_reads("trim_quality_end", f"substr(seq, 1, length({_END})) AS seq, {_END} AS qual", lambda seq, qual: dict(seq=S.trim_quality(seq, qual, 20, start=False), qual=S.trim_quality(qual, qual, 20, start=False)))
+_of_reads("trim_quality_start", f"substr(seq, length(qual) - length({_START}) + 1) AS seq, {_START} AS qual", lambda seq, qual: dict(seq=S.trim_quality(seq, qual, 20, end=False), qual=S.trim_quality(qual, qual, 20, end=False)))
+_of_reads("trim_quality_both", f"substr(seq, length(qual) - length({_START}) + 1, length(regexp_replace({_START}, '[!-4]+$', ''))) AS seq, regexp_replace({_START}, '[!-4]+$', '') AS qual", lambda seq, qual: dict(seq=S.trim_quality(seq, qual, 20), qual=S.trim_quality(qual, qual, 20)))
+_of_reads("trim_quality_window", "CASE WHEN length(qual) = 0 THEN 0 WHEN length(qual) < 5 THEN CASE WHEN list_sum(list_transform(string_split(qual, ''), lambda c: unicode(c) - 33)) // length(qual) >= 20 THEN length(qual) ELSE 0 END ELSE coalesce(list_max(list_filter(range(5, length(qual) + 1), lambda i: (unicode(qual[i]) + unicode(qual[i - 1]) + unicode(qual[i - 2]) + unicode(qual[i - 3]) + unicode(qual[i - 4]) - 165) // 5 >= 20)), length(qual)) END::INTEGER AS keep", lambda seq, qual: dict(keep=S.window_cut(qual, 20, 5)))
+_of_reads("mask_low_quality", "coalesce(array_to_string(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN unicode(qual[i]) < 53 THEN 'N' ELSE seq[i] END), ''), '') AS masked", lambda seq, qual: dict(masked=S.mask_low_quality(seq, qual, 20)))
+_of_reads("count_masked", "length(seq) - length(translate(seq, 'Nn', '')) AS masked", lambda seq, qual: dict(masked=S.count_masked(seq)))
 
 
 @query("extract_region", f"WITH {READS} SELECT id, substr(seq, 3, 10) AS seq, substr(qual, 3, 10) AS qual FROM reads WHERE length(seq) >= 12")
 def _(spark, sf):
-    return reads(spark, sf).where(F.length("seq") >= 12).select("id", S.region(seq, 2, 12).alias("seq"), S.region(qual, 2, 12).alias("qual"))
+    return reads(spark, sf).where(F.length("seq") >= 12).select("id", S.region(F.col("seq"), 2, 12).alias("seq"), S.region(F.col("qual"), 2, 12).alias("qual"))
 
 
 @query("quality_filter", f"WITH {READS} SELECT id, length(seq)::BIGINT AS n FROM reads WHERE {_MEAN} >= 20 AND length(seq) BETWEEN 30 AND 100000")
 def _(spark, sf):
-    return reads(spark, sf).where(S.passes_quality(qual, 20) & S.meets_length(seq, 30, 100000)).select("id", F.length("seq").cast("bigint").alias("n"))
+    return reads(spark, sf).where(S.passes_quality(F.col("qual"), 20) & S.meets_length(F.col("seq"), 30, 100000)).select("id", F.length("seq").cast("bigint").alias("n"))
 
 
 @query("fasta_lines", f"WITH {READS} SELECT id, '>' || id || chr(10) || regexp_replace(regexp_replace(seq, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10) || '$', '') AS record FROM reads WHERE length(seq) > 0")
 def _(spark, sf):
     from helixframe.sources.writers import fasta_lines
 
-    return reads(spark, sf).where(F.length("seq") > 0).select("id", fasta_lines(F.col("id").cast("string"), seq).alias("record"))
+    return reads(spark, sf).where(F.length("seq") > 0).select("id", fasta_lines(F.col("id").cast("string"), F.col("seq")).alias("record"))
 
 
 @query("flagship_qc", f"""WITH {READS}, t AS (SELECT lang, substr(seq, 1, length({_END})) AS seq, {_END} AS qual FROM reads)
@@ -84,9 +83,9 @@ def _(spark, sf):
   FROM t WHERE {_MEAN} >= 20 AND length(seq) >= 30 GROUP BY lang""")
 def flagship_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trim ends below Q20, keep reads of mean Q20 and 30 bases, and describe them by language."""
-    cut = reads(spark, sf_dir).select("lang", S.trim_quality(seq, qual, 20, start=False).alias("seq"), S.trim_quality(qual, qual, 20, start=False).alias("qual"))
-    kept = cut.where((S.mean_quality(qual) >= 20) & (F.length("seq") >= 30))
-    return kept.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("bases"), F.round(F.avg(S.gc_content(seq)), 9).alias("gc"))
+    cut = reads(spark, sf_dir).select("lang", S.trim_quality(F.col("seq"), F.col("qual"), 20, start=False).alias("seq"), S.trim_quality(F.col("qual"), F.col("qual"), 20, start=False).alias("qual"))
+    kept = cut.where((S.mean_quality(F.col("qual")) >= 20) & (F.length("seq") >= 30))
+    return kept.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("bases"), F.round(F.avg(S.gc_content(F.col("seq"))), 9).alias("gc"))
 
 
 _K6 = _KMERS.format(k=6) + ", valid AS (SELECT * FROM kmers WHERE regexp_full_match(kmer, '[ACGT]+'))"
@@ -126,10 +125,10 @@ def _(spark, sf):
 
 @query("minimizers_nthash")
 def _(spark, sf):
-    return kmers.nthash_minimizers(reads(spark, sf).where(~seq.contains("N")), 5, 4)
+    return kmers.nthash_minimizers(reads(spark, sf).where(~F.col("seq").contains("N")), 5, 4)
 
 
-@query("sliding_min", """SELECT user_id, event_id, v AS value, at FROM (SELECT user_id, event_id, (min(struct_pack(v := value, at := event_id)) OVER w).v AS v, (min(struct_pack(v := value, at := event_id)) OVER w).at AS at,
+@query("sliding_min", """SELECT user_id, event_id, v AS value, min_at FROM (SELECT user_id, event_id, (min(struct_pack(v := value, "at" := event_id)) OVER w).v AS v, (min(struct_pack(v := value, "at" := event_id)) OVER w)."at" AS min_at,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) WHERE n >= 4""")
 def _(spark, sf):
     return kmers.sliding_min(table(spark, sf, "events"), 4, "user_id", "event_id", "value")

@@ -14,3 +14,35 @@ def fasta_lines(name: Column, seq: Column, width: int | None = 80) -> Column:
 
 def _guard(line: Column, valid: Column, message: str) -> Column:
     return F.when(F.coalesce(valid, F.lit(False)), line).otherwise(F.raise_error(F.lit(message)))
+
+
+def fastq_lines(name: Column, seq: Column, qual: Column) -> Column:
+    return _guard(F.concat(F.lit("@"), name, F.lit("\n"), seq, F.lit("\n+\n"), qual), F.length(seq) == F.length(qual), "sequence and quality differ in length")
+
+
+def bed_lines(*columns: Column) -> Column:
+    """``chrom, start, end`` and any further columns; nulls become dots."""
+    fields = [F.coalesce(c.cast("string"), F.lit(".")) for c in columns]
+    return _guard(F.concat_ws("\t", *fields), (F.length(columns[0]) > 0) & (columns[1] < columns[2]), "BED rows need a chromosome and start < end")
+
+
+def feature_lines(df: DataFrame, gtf: bool = False) -> Column:
+    """GFF3 or GTF lines with sorted attributes of ``seqid, source, feature, start, end, score, strand, phase, attributes``."""
+    entry = (lambda e: F.concat(e["key"], F.lit(' "'), e["value"], F.lit('";'))) if gtf else (lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    attributes = F.array_join(F.transform(F.array_sort(F.map_entries(df["attributes"])), entry), " " if gtf else ";")
+    score = F.when(df["score"].isNull(), ".").otherwise(F.format_string("%.2f", df["score"]))
+    line = F.concat_ws("\t", df["seqid"], df["source"], df["feature"], df["start"].cast("string"), df["end"].cast("string"), score, df["strand"], F.coalesce(df["phase"].cast("string"), F.lit(".")), attributes)
+    return _guard(line, (F.length(df["seqid"]) > 0) & (df["start"] <= df["end"]) & (F.coalesce(df["phase"], F.lit(0)) <= 2), "bad feature row")
+
+
+def vcf_lines(df: DataFrame) -> Column:
+    info = F.array_join(F.transform(F.array_sort(F.map_entries(df["info"])), lambda e: F.when(e["value"] == "", e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    dot = lambda c: F.coalesce(F.when(c != "", c), F.lit("."))
+    qual = F.regexp_replace(df["qual"].cast("string"), r"\.0$", "")
+    rest = F.when(df["format"].isNotNull(), F.concat(F.lit("\t"), df["format"], F.array_join(F.transform(df["samples"], lambda s: F.concat(F.lit("\t"), s)), ""))).otherwise("")
+    return F.concat(F.concat_ws("\t", df["chrom"], df["pos"].cast("string"), dot(df["id"]), df["ref"], dot(F.array_join(df["alt"], ",")), dot(qual), dot(df["filter"]), dot(info)), rest)
+
+
+def write_lines(df: DataFrame, line: Column, path: str, compression: str | None = None) -> None:
+    """One text file per partition; with ``compression`` such as ``gzip``."""
+    df.select(line.alias("value")).write.text(path, compression=compression or "none")
