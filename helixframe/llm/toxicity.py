@@ -80,21 +80,20 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def sample(labelled: DataFrame, most: tuple[int, int] = SAMPLE) -> DataFrame:
-    """At most ``most[label]`` rows of each label (``id, text, label``), those with the smallest hashes of the id."""
-    key = [F.xxhash64("id"), F.xxhash64("text")]
-    each = [labelled.where(F.col("label") == v).orderBy(*key).limit(most[v]) for v in (0, 1)]
+def sample(marks: DataFrame, most: tuple[int, int] = SAMPLE) -> DataFrame:
+    """At most ``most[label]`` rows of each label (``id, label``), those with the smallest hashes of the id."""
+    each = [marks.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(most[v]) for v in (0, 1)]
     return each[0].union(each[1])
 
 
-def train(labelled: DataFrame, most: tuple[int, int] = SAMPLE) -> np.ndarray:
+def train(labelled: DataFrame) -> np.ndarray:
     """The model of a bounded sample, fitted in one task; without both labels the model scores every text 0."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", kind="stable")
         return pd.DataFrame({"model": [fit(frame["text"].tolist(), frame["label"].to_numpy()).tobytes()]})
 
-    found = sample(labelled.where("label in (0, 1)"), most).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "model binary").first()
+    found = labelled.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "model binary").first()
     model = np.frombuffer(bytes(found.model), np.float32) if found else np.append(np.zeros(BUCKETS, np.float32), np.float32(-30))
     return model
 
@@ -118,10 +117,14 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, text, label`` of the rows to learn from: labelled and not held out; nulls left out."""
-    marks = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("label")).where("id is not null and label is not null").distinct()
-    return docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(marks, "id")
+def labelled_texts(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, text, label`` of the sample to learn from: labelled and not held out; null ids and labels are left out.
+
+    Ids are sampled before any text is read, so that only the sample's texts move; the sample's size bounds the broadcast.
+    """
+    marks = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("label")).where("id is not null and label in (0, 1)").where(~held_out("id"))
+    known = marks.distinct().join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(sample(known, most)), "id")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,6 +134,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     are never inputs of a score, so equal texts have equal scores. Null texts score as empty ones; repeated rows each keep a row;
     without labels of both kinds every score is 0 (about 1e-13); an empty table gives an empty result; extra columns are ignored.
     """
-    model = train(labelled_texts(docs, labels, id_col, text_col))
+    model = train(labelled_texts(docs, labels, SAMPLE, id_col, text_col))
     scored = score_texts(docs.select(id_col, text_col), model, text_col, "score")
     return scored.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
