@@ -139,7 +139,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
     ``@`` may start a quality line, so a file isn't split: a whole file is a row, cut into records by position.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1).alias("l")).where("l <> array('')")
+    files = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1).alias("l")).where("l <> array('')")
     whole = F.when(F.size("l") % 4 == 0, F.col("l")).otherwise(F.raise_error(F.lit("a FASTQ record is incomplete")))
     rec = files.select(whole.alias("l")).select(F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("l") / 4 - 1).cast("int")), lambda i: F.struct(F.get("l", i * 4).alias("h"), F.get("l", i * 4 + 1).alias("s"), F.get("l", i * 4 + 2).alias("p"), F.get("l", i * 4 + 3).alias("q")))).alias("nth", "r"))
     fine = F.col("r.h").startswith("@") & F.col("r.p").startswith("+") & (F.length("r.s") == F.length("r.q"))
