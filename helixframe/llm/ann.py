@@ -106,9 +106,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     """
     clean = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
     rows = clean.select(F.col(id_col).cast("bigint").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("vec"), is_query.alias("asks"))
-    n = rows.where("asks").count()
-    blocks = max(1, math.ceil(n / block))
-    groups = max(1, math.ceil(2 * parts(vectors) / blocks))
+    n = rows.agg(F.count("*").alias("given"), F.count_if("asks").alias("asked")).first()
+    blocks = max(1, math.ceil(n.asked / block))
+    # A group fills a tile at least: what tasks return is a heap for each query and group.
+    groups = max(1, min(math.ceil(2 * parts(vectors) / blocks), math.ceil(n.given / TILE_ROWS)))
     spread = lambda m, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
     asked = rows.where("asks").select("id", "vec", F.lit(0).alias("side"), spread(blocks, 1).alias("blk"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
     # A second salt from the whole row spreads rows with one id over the groups.
