@@ -43,6 +43,44 @@ def vcf_lines(df: DataFrame) -> Column:
     return F.concat(F.concat_ws("\t", df["chrom"], df["pos"].cast("string"), dot(df["id"]), df["ref"], dot(F.array_join(df["alt"], ",")), dot(qual), dot(df["filter"]), dot(info)), rest)
 
 
+def paf_lines(df: DataFrame) -> Column:
+    return F.concat_ws("\t", *[df[c].cast("string") for c in df.columns[:12]])
+
+
+def blast_lines(df: DataFrame) -> Column:
+    """The identity with two decimals; e-values and scores as Spark prints them."""
+    return F.concat_ws("\t", *[F.format_string("%.2f", df[c]) if c == "pident" else df[c].cast("string") for c in df.columns[:12]])
+
+
+def fai_lines(df: DataFrame) -> Column:
+    return F.concat_ws("\t", *[df[c].cast("string") for c in ("name", "length", "offset", "line_bases", "line_width")])
+
+
+def _tag_fields(tags: Column) -> Column:
+    """A tab and ``key:type:value`` for each tag, by key."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat(F.lit("\t"), e["key"], F.lit(":"), e["value"])), "")
+
+
+def sam_lines(df: DataFrame) -> Column:
+    """Alignment lines with reference names and positions from 1; absent values as the format writes them."""
+    star = lambda c: F.coalesce(df[c], F.lit("*"))
+    place = lambda c: (F.coalesce(df[c], F.lit(-1)) + 1).cast("string")
+    mate = F.when(df["mate_reference"] == df["reference"], "=").otherwise(star("mate_reference"))
+    line = F.concat_ws("\t", df["name"], df["flags"].cast("string"), star("reference"), place("position"), F.coalesce(df["mapq"], F.lit(255)).cast("string"), star("cigar"), mate, place("mate_position"), F.coalesce(df["template_length"], F.lit(0)).cast("string"), star("sequence"), star("quality"))
+    valid = df["quality"].isNull() | (F.length(df["quality"]) == F.length(df["sequence"]))
+    return _guard(F.concat(line, F.coalesce(_tag_fields(df["tags"]), F.lit(""))), valid, "sequence and quality differ in length")
+
+
+def gfa_lines(segments: DataFrame, links: DataFrame, paths: DataFrame) -> DataFrame:
+    """``line`` of a whole graph: header, segments, links, paths."""
+    join = lambda *c: F.concat_ws("\t", *c)
+    head = segments.sparkSession.createDataFrame([("H\tVN:Z:1.0",)], "line string")
+    s = segments.select(F.concat(join(F.lit("S"), "name", F.coalesce("sequence", F.lit("*"))), _tag_fields(F.col("tags"))).alias("line"))
+    one = links.select(F.concat(join(F.lit("L"), "from_segment", "from_orient", "to_segment", "to_orient", "overlap"), _tag_fields(F.col("tags"))).alias("line"))
+    p = paths.select(join(F.lit("P"), "name", F.array_join("steps", ","), F.array_join("overlaps", ",")).alias("line"))
+    return head.union(s).union(one).union(p)
+
+
 def write_lines(df: DataFrame, line: Column, path: str, compression: str | None = None) -> None:
     """One text file per partition; with ``compression`` such as ``gzip``."""
     df.select(line.alias("value")).write.text(path, compression=compression or "none")
