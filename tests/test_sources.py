@@ -5,7 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.sources import bam, fai, genbank, readers, writers
+from helixframe.sources import bam, bcf, fai, genbank, readers, writers
 from helixframe.sources.bgzf import BlockReader, deflate_block
 
 REFS = [("chr1", 200_000), ("chr2", 5000)]
@@ -185,3 +185,43 @@ def test_text_writers(spark, sam, tmp_path):
     assert p.select(writers.paf_lines(p)).first()[0] == paf and b.select(writers.blast_lines(b)).first()[0] == blast.replace("0.001", "0.001")
     g = readers.read_gfa(spark, str(tmp_path / "gfa"))
     assert [r.line for r in writers.gfa_lines(g["segments"], g["links"], g["paths"]).collect()] == graph
+
+
+HEADER = """##fileformat=VCFv4.2
+##FILTER=<ID=LowQual,Description="Low, really">
+##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth">
+##INFO=<ID=DB,Number=0,Type=Flag,Description="Known">
+##INFO=<ID=AF,Number=A,Type=Float,Description="Share">
+##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">
+##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Depth">
+##contig=<ID=chr1,length=1000>
+#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2
+"""
+
+
+def test_bcf_equals_vcf(spark, tmp_path):
+    text = lambda s: bytes([len(s) << 4 | 7]) + s.encode()
+    number = lambda v: bytes([0x11, v])
+    long = "A" * 20
+    shared = [
+        struct.pack("<iiIfHHI", 0, 6, 1, 30.5, 3, 3, 2 << 24 | 2) + b"\x07" + text("G") + text("C") + text("T") + number(0) + number(2) + b"\x12" + struct.pack("<h", 300) + number(3) + b"\x00" + number(4) + b"\x25" + struct.pack("<fI", 0.25, 0x7F800001),
+        struct.pack("<iiIIHHI", 0, 9, 20, 0x7F800001, 0, 2, 2 << 24 | 2) + text("rs1") + b"\xf7" + number(20) + long.encode() + text("A") + number(1),
+    ]
+    own = [number(5) + b"\x21" + bytes([2, 5, 2, 4]) + number(2) + b"\x11" + bytes([9, 128]), number(5) + b"\x21" + bytes([0, 0, 4, 129]) + number(2) + b"\x11" + bytes([1, 2])]
+    head = b"BCF\x02\x02" + struct.pack("<I", len(HEADER) + 1) + HEADER.encode() + b"\0"
+    body = b"".join(struct.pack("<II", len(s), len(o)) + s + o for s, o in zip(shared, own))
+    (tmp_path / "a.bcf").write_bytes(deflate_block(head + body) + deflate_block(b""))
+    (tmp_path / "a.vcf").write_text(HEADER + f"chr1\t7\t.\tG\tC,T\t30.5\tPASS\tDP=300;DB;AF=0.25,.\tGT:DP\t0|1:9\t0/1:.\nchr1\t10\trs1\t{long}\tA\t.\tLowQual\t.\tGT:DP\t./.:1\t1:2\n")
+    got, want = bcf.read_bcf(spark, str(tmp_path / "a.bcf")), readers.read_vcf(spark, str(tmp_path / "a.vcf"))
+    assert got.columns == want.columns
+    assert [r.asDict() for r in got.orderBy("pos").collect()] == [r.asDict() for r in want.orderBy("pos").collect()]
+    (tmp_path / "b.bcf").write_bytes(deflate_block(head + body[:-1]) + deflate_block(b""))
+    with pytest.raises(Exception):
+        bcf.read_bcf(spark, str(tmp_path / "b.bcf")).collect()
+
+
+def test_vcf_header(spark, tmp_path):
+    (tmp_path / "a.vcf").write_text(HEADER)
+    found = {(r.kind, r.id): r for r in bcf.vcf_header(spark, str(tmp_path / "a.vcf")).collect()}
+    assert len(found) == 8 and found["fileformat", None].value == "VCFv4.2" and found["contig", "chr1"].length == 1000
+    assert found["FILTER", "LowQual"].description == "Low, really" and (found["INFO", "AF"].number, found["INFO", "AF"].type) == ("A", "Float")
