@@ -36,11 +36,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of rows with that id, one."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), **NEAR)
-    kept = found.where("id = component or component is null").select(F.col("id").alias("k_id")).distinct()
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    """The smallest document of each group of near duplicates, by id and then by the text's hash.
+
+    Rows with the same id but other texts are documents of their own. Of rows with the same id and text one stays, the
+    least by its other columns. A null id is smaller than all others.
+    """
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    found = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text"), **NEAR)
+    kept = found.where("id = component").select(F.col("id.id").alias("k_id"), F.col("id.h").alias("k_h")).distinct()
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["k_id"]) & (F.xxhash64(docs["text"]) == kept["k_h"]), "left_semi")
+    rest = [f.name for f in docs.schema.fields if "map<" not in (kind := f.dataType.simpleString()) and "variant" not in kind]
+    one = joined.groupBy("doc_id", F.xxhash64("text").alias("k_h")).agg(F.min_by(F.struct(*docs.columns), F.struct(*rest)).alias("k_row"))
+    return one.select("k_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
