@@ -280,3 +280,13 @@ def test_pipeline(spark):
     assert len(set(texts)) == len(texts)
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert packed.select("doc_id").distinct().count() == kept.count()
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    found = [(1, long, "b"), (1, long, "a"), (1, "quite another text about the sea and its islands in winter", "c"), (2, long, "d"), (None, "one more text on stones, rivers and old bridges of the north", "e"), (None, None, "f"), (3, "", "g")]
+    docs = spark.createDataFrame(found, "doc_id long, text string, k_id string").withColumn("extra", F.create_map(F.lit("k"), F.lit(1)))
+    got = corpus_pipeline.dedup_near(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(r.k_id for r in got.collect()) == ["a", "c", "e", "f"]
+    assert corpus_pipeline.dedup_near(spark, docs.limit(0), SF).count() == 0
