@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.shared import rows
+from helixframe.llm.shared import map_batches, rows
 from helixframe.llm.tokens import Remembered
 
 
@@ -116,7 +116,7 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.P
         for batch in rows(batches, 500):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.encode(x.as_py() or "") for x in batch.column(1)], pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids binary")
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids binary")
 
 
 def decode_ids(encoded: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -127,7 +127,7 @@ def decode_ids(encoded: DataFrame, ranks: str, pattern: str = public_tokenizers.
         for batch in rows(batches, 500):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([bpe.decode(x.as_py() or b"") for x in batch.column(1)], pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
+    return map_batches(encoded.select("doc_id", "ids"), run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
 
 
 def token_digests(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.shared import checkpoint
+from helixframe.llm.shared import checkpoint, map_batches
 
 
 def _forest(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
@@ -43,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
     No component is ever gathered in one place: a hub's rows meet only in aggregates that combine on the map side and in
     joins that AQE can split. Self-loops, repeated edges and an empty table are allowed.
     """
-    now = checkpoint(edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a bigint, b bigint").distinct())
+    now = checkpoint(map_batches(edges.select("a", "b").where("a <> b"), _forest, "a bigint, b bigint").distinct())
     seen = None
     while True:
         mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()

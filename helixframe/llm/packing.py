@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.shared import rows
+from helixframe.llm.shared import map_batches, rows
 from helixframe.llm.tokens import FastTokenizer
 
 #: Tokens of a sequence, and the attention cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
@@ -113,4 +113,4 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GRO
             yield from full()
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, schema)

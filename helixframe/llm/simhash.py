@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.components import components
-from helixframe.llm.shared import checkpoint, rows, runs, utf8
+from helixframe.llm.shared import checkpoint, map_batches, rows, runs, utf8
 
 #: Rows of a block; a tile compares two blocks.
 TILE = 16384
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, size: int = 3, check_size: int | None = None,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(wide, pa.binary())], ["id", "fp", "wide"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("text")).mapInArrow(run, f"id {kind}, fp bigint, wide binary")
+    return map_batches(docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("text")), run, f"id {kind}, fp bigint, wide binary")
 
 
 def ring(distance: int) -> list[tuple[int, int]]:
@@ -165,7 +165,7 @@ def links(classes: DataFrame, distance: int, wide_distance: int | None = None) -
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(node[[e[k] for e in found]], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return map_batches(dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y"), run, "a bigint, b bigint")
 
 
 def near_duplicates(

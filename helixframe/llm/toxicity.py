@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.shared import rows
+from helixframe.llm.shared import map_batches, rows
 
 #: Lengths of the n-grams, and buckets that they are hashed to.
 SIZES, BUCKETS = (3, 4, 5), 1 << 17
@@ -109,7 +109,7 @@ def score_texts(docs: DataFrame, model: np.ndarray, text_col: str = "text", scor
             yield pa.RecordBatch.from_arrays([*batch.columns, got], [*batch.schema.names, score_col])
 
     ddl = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
-    return docs.mapInArrow(run, ddl)
+    return map_batches(docs, run, ddl)
 
 
 def held_out(id_col: str) -> Column:

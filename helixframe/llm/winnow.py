@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.shared import parts, rows
+from helixframe.llm.shared import map_batches, parts, rows
 
 #: Code points of a gram, and grams of a window: any passage of K + W - 1 code points that two texts share is found.
 K, W = 12, 21
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = [encode(*winnow(x.as_py() or "", k, w)) for x in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(prints, pa.string())], [id_col, "fingerprint"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
+    return map_batches(docs.select(id_col, text_col), run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -135,4 +135,4 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
 
-    return in_order(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_batches(in_order(docs, id_col, text_col), run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
