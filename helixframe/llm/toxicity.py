@@ -41,23 +41,43 @@ def features(text: str) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.int64), *grams(text)]))
 
 
+def blocks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Runs of texts with about ``most`` features each: their place, their numbers of features, and the features."""
+    first, found, size = 0, [], 0
+    for i, text in enumerate(texts):
+        found.append(features(text).astype(np.int32))
+        size += len(found[-1])
+        if size >= most or i == len(texts) - 1:
+            yield slice(first, i + 1), np.array([len(f) for f in found]), np.concatenate(found)
+            first, found, size = i + 1, [], 0
+
+
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 50, l2: float = 1e-3) -> np.ndarray:
-    """Weights by bucket, and the offset last: full-batch gradient descent with momentum on scaled, length-normed features."""
-    found = [features(t) for t in texts]
-    y = np.asarray(labels, np.float64)
-    owner, index = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([*found, np.zeros(0, np.int64)])
-    toxic = np.bincount(index, y[owner], BUCKETS) + 1
-    clean = np.bincount(index, 1 - y[owner], BUCKETS) + 1
+    """Weights by bucket, and the offset last: full-batch gradient descent with momentum on scaled, length-normed features.
+
+    Held are four bytes a feature; each step goes block by block.
+    """
+    y, held = np.asarray(labels, np.float64), list(blocks(texts))
+
+    def by_bucket(each: np.ndarray) -> np.ndarray:
+        """Sum over the texts that hold each bucket."""
+        return sum((np.bincount(index, np.repeat(each[at], sizes), BUCKETS) for at, sizes, index in held), np.zeros(BUCKETS))
+
+    def by_text(each: np.ndarray) -> np.ndarray:
+        """Sum over the buckets that each text holds."""
+        sums = [np.bincount(np.repeat(np.arange(len(sizes)), sizes), each[index], len(sizes)) for _, sizes, index in held]
+        return np.concatenate([np.zeros(0), *sums])
+
+    toxic, clean = by_bucket(y) + 1, by_bucket(1 - y) + 1
     scale = np.log(toxic / toxic.sum()) - np.log(clean / clean.sum())
-    total = np.maximum(1, np.bincount(owner, minlength=len(found)))
-    value = scale[index] / np.sqrt(total)[owner]
+    norm = 1 / np.sqrt(np.maximum(1, np.concatenate([np.zeros(0), *[sizes for _, sizes, _ in held]])))
     share = np.where(y == 1, TOXIC_SHARE / max(1, y.sum()), (1 - TOXIC_SHARE) / max(1, (1 - y).sum()))
     weight, offset = np.zeros(BUCKETS), 0.0
     first, second = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(owner, weight[index] * value, len(found)) + offset
+        z = by_text(weight * scale) * norm + offset
         miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        slope = np.append(np.bincount(index, miss[owner] * value, BUCKETS) + l2 * weight / BUCKETS, miss.sum())
+        slope = np.append(by_bucket(miss * norm) * scale + l2 * weight / BUCKETS, miss.sum())
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         step = 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
         weight, offset = weight - step[:-1], offset - step[-1]
