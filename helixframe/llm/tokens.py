@@ -60,7 +60,7 @@ class FastTokenizer:
         if any(x >= y for x, y in zip(order, order[1:])):
             raise ValueError("ids don't follow the order of the merges")
         core = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.piece = Remembered(lambda s: pack(f"<{len(ids := core.encode_ordinary(s))}I", *ids), 600_000)
+        self.piece = Remembered(lambda s: pack(f"<{len(ids := core.encode_ordinary(s))}I", *ids))
 
     def ids(self, text: str) -> bytes:
         if any(s in text for s in self.special) or _RUN.search(text):
