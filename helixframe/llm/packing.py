@@ -93,9 +93,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GRO
         def full() -> Iterator[pa.RecordBatch]:
             nonlocal base
             pieces = assign([len(x) // 4 for _, x in held], length)
-            for at in range(0, len(pieces), 4000):
+            for at in range(0, len(pieces), 500):
                 out = []
-                for d, start, n, s, offset in pieces[at : at + 4000]:
+                for d, start, n, s, offset in pieces[at : at + 500]:
                     ids = held[d][1][4 * start : 4 * (start + n)]
                     out.append((held[d][0], start, n, zlib.crc32(ids), len(held[d][1]) // 4, base + s, offset, ids))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
