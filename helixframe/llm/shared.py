@@ -37,10 +37,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``df.mapInArrow`` in batches of about ``BATCH_BYTES`` at most, a longer row being a batch of its own.
 
-    Spark's own limit counts rows, so that a batch grows with the texts; the session keeps the limit set here.
+    Spark's own limit counts rows, so that a batch grows with the texts; the session keeps the limit set here. A worker
+    gives back Arrow's free memory after each task.
     """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
 
 
 def utf8(column: Column) -> Column:
