@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import kmer
 from helixframe.functions.sequence import let
 
+#: Minimizers of a batch that Python returns.
+_MOST = 100_000
+
 
 def spectrum(reads: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """Count of each k-mer; partial counts are made before the shuffle."""
@@ -32,12 +39,56 @@ def minimizers(reads: DataFrame, k: int, w: int, hashed: Column | None = None) -
 
 
 def nthash_minimizers(reads: DataFrame, k: int, w: int) -> DataFrame:
-    """``id, position, hash`` by canonical ntHash over full windows only; unsigned order."""
-    flip = F.lit(-(1 << 63))
-    spots = F.transform(kmer.windows(F.col("seq"), k), lambda x, i: F.struct(kmer.nthash(x, k).bitwiseXOR(flip).alias("u"), i.alias("position")))
-    held = reads.where(F.length("seq") >= k + w - 1)
-    least = let(spots, lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.size(v) - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(v, i, w))))
-    return held.select("id", F.explode(_changes(least)).alias("m")).select("id", F.col("m.position").cast("bigint").alias("position"), F.col("m.u").bitwiseXOR(flip).alias("hash"))
+    """``id, position, hash`` by canonical ntHash over full windows only; unsigned order. N hashes as 0.
+
+    Arrays of a whole read are hashed at once; a batch holds about ``_MOST`` minimizers.
+    """
+    seeds = np.zeros((2, 128), np.uint64)
+    for base, other in zip("ACGT", "TGCA"):
+        seeds[0, ord(base)], seeds[1, ord(base)] = kmer.NT_SEEDS[base], kmer.NT_SEEDS[other]
+
+    def rotl(x: np.ndarray, by: int) -> np.ndarray:
+        by %= 64
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by)) if by else x
+
+    def least(seq: str) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer(seq.encode("utf-32-le"), np.uint32)
+        ahead, back = seeds[:, np.where(codes < 128, codes, 0)]
+        n = len(codes) - k + 1
+        forward, reverse = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        for j in range(k):
+            forward ^= rotl(ahead[j : j + n], k - 1 - j)
+            reverse ^= rotl(back[j : j + n], j)
+        hashes = np.minimum(forward, reverse)
+        n -= w - 1
+        best, at = hashes[:n], np.arange(n)
+        for j in range(1, w):
+            less = hashes[j : j + n] < best
+            best, at = np.where(less, hashes[j : j + n], best), np.where(less, np.arange(j, j + n), at)
+        new = np.concatenate(([True], at[1:] != at[:-1]))
+        return at[new], best[new].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, found = [], []
+
+            def joined() -> pa.RecordBatch:
+                ids = batch.column(0).take(pa.array(np.repeat(held, [len(x[0]) for x in found])))
+                return pa.RecordBatch.from_arrays([ids, *[pa.array(np.concatenate(x)) for x in zip(*found)]], ["id", "position", "hash"])
+
+            size = 0
+            for i, seq in enumerate(batch.column(1)):
+                held.append(i)
+                found.append(least(seq.as_py()))
+                size += len(found[-1][0])
+                if size > _MOST:
+                    yield joined()
+                    held, found, size = [], [], 0
+            if found:
+                yield joined()
+
+    kept = reads.select("id", "seq").where(F.length("seq") >= k + w - 1 if k > 0 and w > 0 else F.lit(False))
+    return kept.mapInArrow(run, f"id {reads.schema['id'].dataType.simpleString()}, position bigint, hash bigint")
 
 
 def sliding_min(rows: DataFrame, w: int, by: str, order: str, value: str) -> DataFrame:

@@ -125,7 +125,7 @@ def _(spark, sf):
 
 @query("minimizers_nthash")
 def _(spark, sf):
-    return kmers.nthash_minimizers(reads(spark, sf).where(~F.col("seq").contains("N")), 5, 4)
+    return kmers.nthash_minimizers(reads(spark, sf), 5, 4)
 
 
 @query("sliding_min", """SELECT user_id, event_id, v AS value, min_at FROM (SELECT user_id, event_id, (min(struct_pack(v := value, "at" := event_id)) OVER w).v AS v, (min(struct_pack(v := value, "at" := event_id)) OVER w)."at" AS min_at,

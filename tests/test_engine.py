@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from helixframe.functions import alignment as A
 from helixframe.functions import sequence as S
-from helixframe.operators import local_alignment
+from helixframe.operators import derive, kmers, local_alignment
 from helixframe.plans import catalog
 from helixframe.sources import readers, writers
 from helixframe.streaming import counters
@@ -41,6 +41,37 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
+def brute_nthash(seq, k, w):
+    """Rolling hashes, N as 0; the leftmost least of each full window, repeats in a row once."""
+    mask, seeds = (1 << 64) - 1, {"A": 0x3C8BFBB395C60474, "C": 0x3193C18562A02B4C, "G": 0x20323ED082572324, "T": 0x295549F54BE24456, "N": 0}
+    rotl = lambda x, n: (x << n % 64 | x >> (64 - n % 64)) & mask
+    ahead, back = [seeds[c] for c in seq], [seeds[c.translate(str.maketrans("ACGT", "TGCA"))] for c in seq]
+    f = r = 0
+    hashes = []
+    for i in range(len(seq)):
+        f, r = rotl(f, 1) ^ ahead[i], rotl(r, 63) ^ rotl(back[i], k - 1)
+        if i >= k:
+            f, r = f ^ rotl(ahead[i - k], k), r ^ rotl(back[i - k], 63)
+        if i >= k - 1:
+            hashes.append(min(f, r))
+    found = []
+    for i in range(len(hashes) - w + 1):
+        h, at = min((hashes[j], j) for j in range(i, i + w))
+        if not found or found[-1][0] != at:
+            found.append((at, h - (h >> 63 << 64)))
+    return found
+
+
+def test_nthash_minimizers_take_every_read(spark):
+    held = {1: "ACGTNACGTACGGTNNTACA", 2: "N" * 12, 3: "ACGTACG", 4: "ACGTACGA", 5: "NACGTACG", 6: "", 7: "TTTTTTTTTN"}
+    small = kmers.nthash_minimizers(spark.createDataFrame(list(held.items()), "id long, seq string"), 5, 4)
+    assert sorted(map(tuple, small.collect())) == sorted((i, *m) for i, s in held.items() for m in brute_nthash(s, 5, 4))
+    reads = derive.reads(spark, SF).select("id", "seq").collect()
+    assert any("N" in r.seq and len(r.seq) > 1000 for r in reads)
+    got = catalog.queries()["minimizers_nthash"](spark, SF).select("id", "position", "hash")
+    assert sorted(map(tuple, got.collect())) == sorted((r.id, *m) for r in reads for m in brute_nthash(r.seq, 5, 4))
+
+
 def test_smith_waterman_small(spark):
     assert local_alignment.align("ACGT", "ACGT") == (8, 0, 4, 0, 4, "4M")
     assert local_alignment.align("", "ACGT") == (0, 0, 0, 0, 0, "")
