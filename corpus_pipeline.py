@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from helixframe.llm import linededup, packing, simhash, toxicity
 from helixframe.llm.shared import shared_folder, table
 
-#: Near duplicates: fingerprints on two-word shingles find the candidates, those on five words decide. 28 of 128 bits is
-#: what texts of Jaccard similarity 0.8 stay under in all but about one of fifty cases.
-NEAR = {"size": 2, "distance": 11, "check_size": 5, "check_distance": 28}
+#: Near duplicates: fingerprints on two-word and on five-word shingles find the candidates, the exact Jaccard similarity of
+#: the sets of five-word shingles decides.
+NEAR = {"size": 2, "distance": 11, "check_size": 5, "check_distance": 28, "jaccard": 0.8}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +43,11 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
     found = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text"), **NEAR)
-    kept = found.where("id = component").select(F.col("id.id").alias("k_id"), F.col("id.h").alias("k_h")).distinct()
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["k_id"]) & (F.xxhash64(docs["text"]) == kept["k_h"]), "left_semi")
+    kept = found.where("id = component").select(F.col("id").alias("near_key_")).distinct()
+    # One key column, so that the rows of a key stay where the join has put them.
+    joined = docs.withColumn("near_key_", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))).join(kept, "near_key_", "left_semi")
     rest = [f.name for f in docs.schema.fields if "map<" not in (kind := f.dataType.simpleString()) and "variant" not in kind]
-    one = joined.groupBy("doc_id", F.xxhash64("text").alias("k_h")).agg(F.min_by(F.struct(*docs.columns), F.struct(*rest)).alias("k_row"))
+    one = joined.groupBy("near_key_").agg(F.min_by(F.struct(*docs.columns), F.struct(*rest)).alias("k_row"))
     return one.select("k_row.*")
 
 

@@ -16,7 +16,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.components import components
@@ -24,6 +24,8 @@ from helixframe.llm.shared import checkpoint, map_batches, rows, runs, utf8
 
 #: Rows of a block; a tile compares two blocks.
 TILE = 16384
+#: Classes and shingles of a block whose texts are compared exactly.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 #: Bits of a byte, the highest first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _CHUNK = 1 << 16
@@ -63,18 +65,35 @@ def wide_simhash(text: bytes, size: int = 5) -> bytes:
     return majority(map(xxhash.xxh3_128_digest, shingles(text.lower().split(), size)), 16)
 
 
-def fingerprints(docs: DataFrame, size: int = 3, check_size: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp`` (a long) for every row, and ``wide`` (16 bytes, else null) on ``check_size`` words; null texts are empty."""
+def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the lower-cased text's word shingles."""
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, shingles(text.lower().split(), size))), np.uint64))
+
+
+def fingerprints(docs: DataFrame, size: int = 3, check_size: int | None = None, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+    """``id, fp`` (a long) for every row, and ``wide`` (16 bytes, else null) on ``check_size`` words; null texts are empty.
+
+    ``sets`` adds ``same`` (16 bytes, equal for equal sets of ``check_size``-word shingles) and ``many``, how many these are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
             texts = [x.as_py() for x in batch.column(1)]
             fps = [int.from_bytes(simhash(t, size), "big", signed=True) for t in texts]
             wide = [wide_simhash(t, check_size) if check_size else None for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(wide, pa.binary())], ["id", "fp", "wide"])
+            out = {"id": batch.column(0), "fp": pa.array(fps, pa.int64()), "wide": pa.array(wide, pa.binary())}
+            if sets:
+                found = [shingle_set(t, check_size) for t in texts]
+                out |= {"same": pa.array([_same(x) for x in found], pa.binary()), "many": pa.array(map(len, found), pa.int64())}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("text")), run, f"id {kind}, fp bigint, wide binary")
+    schema = f"id {kind}, fp bigint, wide binary" + (", same binary, many bigint" if sets else "")
+    return map_batches(docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("text")), run, schema)
+
+
+def _same(shingle_hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingle_hashes.tobytes())
 
 
 def ring(distance: int) -> list[tuple[int, int]]:
@@ -168,13 +187,76 @@ def links(classes: DataFrame, distance: int, wide_distance: int | None = None) -
     return map_batches(dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y"), run, "a bigint, b bigint")
 
 
+def exact_forest(sets: list[np.ndarray], jaccard: float) -> list[tuple[int, int]]:
+    """Edges (row numbers) of a spanning forest of the pairs whose sets have at least that Jaccard similarity."""
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    ends = np.cumsum(sizes)
+    known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, left, edges = np.zeros(len(known), bool), np.ones(n, bool), []
+    # Elements of the rows that nothing has reached, and how many rows these were.
+    live, owner, held = codes, np.repeat(np.arange(n), sizes), n
+    for seed in range(n):
+        queue = [seed] if left[seed] else []
+        left[seed] = False
+        while queue:
+            i = queue.pop()
+            rest = int(left.sum())
+            if not rest:
+                return edges
+            if rest * 2 <= held:
+                keep = left[owner]
+                live, owner, held = live[keep], owner[keep], rest
+            mine = codes[ends[i] - sizes[i] : ends[i]]
+            mark[mine] = True
+            shared = np.bincount(owner[mark[live]], minlength=n)
+            mark[mine] = False
+            found = np.flatnonzero(left & (shared / np.maximum(sizes + sizes[i] - shared, 1) >= jaccard)).tolist()
+            edges += [(i, j) for j in found]
+            left[found] = False
+            queue += found
+    return edges
+
+
+def exact_links(candidates: DataFrame, classes: DataFrame, docs: DataFrame, size: int, jaccard: float) -> DataFrame:
+    """Edges ``a, b`` that connect all classes of at least that Jaccard similarity within a component of ``candidates``.
+
+    The similarity is that of the sets of ``size``-word shingles, from the texts of ``docs`` (``id, text``). A component's
+    texts meet in one task, or if they are many in tiles of two blocks each, so that every pair still meets.
+    """
+    roots = components(candidates)
+    members = classes.join(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "node").select("node", "root", "first", "same", "many")
+    stats = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("many") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
+    named = members.join(stats, "root").withColumn("k_", F.xxhash64("first"))
+    texts = docs.select("id", utf8(F.col("text")).alias("text"), F.xxhash64("id").alias("d_"))
+    held = named.join(texts, (F.col("k_") == F.col("d_")) & F.col("first").eqNullSafe(F.col("id"))).select("root", "node", "same", "blocks", "text")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least(own, t).alias("x"), F.greatest(own, t).alias("y")))
+    dealt = held.withColumn("tile", F.explode(tiles)).select("root", F.col("tile.x").alias("x"), F.col("tile.y").alias("y"), "node", "same", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["root", "x", "y"]):
+            sets: dict[int, np.ndarray] = {}
+            for node, same, text in zip(group.column("node").to_pylist(), group.column("same"), group.column("text")):
+                # Rows of one id can have other texts than the class's.
+                if node not in sets and _same(found := shingle_set(text.as_py(), size)) == same.as_py():
+                    sets[node] = found
+            nodes = np.fromiter(sets, np.int64, len(sets))
+            if len(nodes) > 1 and (found := exact_forest(list(sets.values()), jaccard)):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[[e[k] for e in found]], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return map_batches(dealt.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y"), run, "a bigint, b bigint")
+
+
 def near_duplicates(
-    docs: DataFrame, size: int = 3, distance: int = 3, check_size: int | None = None, check_distance: int | None = None, id_col: str = "doc_id", text_col: str = "text", prints: Callable[..., DataFrame] = fingerprints
+    docs: DataFrame, size: int = 3, distance: int = 3, check_size: int | None = None, check_distance: int | None = None, id_col: str = "doc_id", text_col: str = "text", prints: Callable[..., DataFrame] = fingerprints, jaccard: float | None = None
 ) -> DataFrame:
     """``id, fp, component`` for every row: its fingerprint and the smallest id that it reaches by links.
 
     Fingerprints link at ``distance`` or fewer differing bits (1 to 31). With ``check_size`` a link must also have at most
     ``check_distance`` of 128 bits different in a second fingerprint on shingles of that many words.
+    With ``jaccard`` such links are candidates only: a link's texts have at least that similarity of their sets of shingles
+    of ``check_size`` words, counted exactly, and equal sets share a component.
 
     Texts that are null, empty or blank have the fingerprint zero and link like any other. Equal texts always share a
     component. Rows with the same id each keep their own row. A null id never names a component unless nothing else is
@@ -182,13 +264,22 @@ def near_duplicates(
     """
     if not 1 <= distance <= 31:
         raise ValueError("distance must be from 1 to 31")
-    each = checkpoint(prints(docs, size, check_size, id_col, text_col))
-    classes = checkpoint(each.groupBy("fp", "wide").agg(F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    roots = components(links(classes, distance, check_distance if check_size else None))
+    if jaccard is not None and not check_size:
+        raise ValueError("jaccard needs check_size")
+    each = checkpoint(prints(docs, size, check_size, id_col, text_col, **({"sets": True} if jaccard is not None else {})))
+    keys = ["fp", "wide", *(["same", "many"] if jaccard is not None else [])]
+    classes = checkpoint(each.groupBy(*keys).agg(F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    found = links(classes, distance, check_distance if check_size else None)
+    if jaccard is not None:
+        equal = classes.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("same")).alias("b")).where("a <> b")
+        found = exact_links(found.union(equal), classes, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), check_size, jaccard)
+    roots = components(found)
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("c_fp"), F.col("wide").alias("c_wide"), "component")
-    same = (F.col("fp") == F.col("c_fp")) & (F.col("wide").eqNullSafe(F.col("c_wide")) if check_size else F.lit(True))
+    named = rooted.join(least, "root").select(*[F.col(k).alias(f"c_{k}") for k in keys], "component")
+    same = F.col("fp") == F.col("c_fp")
+    for k in keys[1:] if check_size else []:
+        same &= F.col(k).eqNullSafe(F.col(f"c_{k}"))
     return each.join(named, same, "left").select("id", "fp", "component")
 
 

@@ -290,3 +290,62 @@ def test_near_dedup_of_repeated_ids(spark):
     assert got.columns == docs.columns
     assert sorted(r.k_id for r in got.collect()) == ["a", "c", "e", "f"]
     assert corpus_pipeline.dedup_near(spark, docs.limit(0), SF).count() == 0
+
+
+def brute_kept(texts, jaccard=0.8, size=5):
+    """The least id of each component of the pairs with at least that Jaccard similarity."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or {tuple(w)}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and label[a] != label[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= jaccard:
+                gone, stays = max(label[a], label[b]), min(label[a], label[b])
+                label = {i: stays if v == gone else v for i, v in label.items()}
+    return sorted({*label.values()})
+
+
+def edited(rng, words, scattered, changed):
+    """A copy in which one block of that many words, or each of so many words 5 or more apart, is new."""
+    at = rng.choice(len(words) // 5, changed, replace=False) * 5 if scattered else rng.integers(0, len(words) - changed) + np.arange(changed)
+    fresh = {int(k): f"n{rng.integers(1 << 40)}" for k in at}
+    return " ".join(fresh.get(k, w) for k, w in enumerate(words))
+
+
+def test_near_dedup_keeps_pairs_below_the_similarity(spark):
+    rng = np.random.default_rng(11)
+    texts = {}
+    for g in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        scattered = g % 2 == 0
+        changed = int(rng.integers(3, 16)) if scattered else int(rng.integers(8, 70))
+        texts |= {2 * g: " ".join(words), 2 * g + 1: edited(rng, words, scattered, changed)}
+    want = brute_kept(texts)
+    assert 130 < len(want) < 230
+    got = corpus_pipeline.dedup_near(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), SF)
+    # Whatever the brute force keeps stays.
+    assert set(want) <= {r.doc_id for r in got.collect()}
+
+
+def test_exact_forest():
+    rng = np.random.default_rng(12)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 1 << 60, 40, dtype=np.uint64)
+        for _ in range(12):
+            sets.append(np.unique(np.concatenate((base[rng.random(40) < 0.9], rng.integers(0, 1 << 60, int(rng.integers(0, 4)), dtype=np.uint64)))))
+    sets += [np.array([1, 2, 3, 4], np.uint64), np.array([1, 2, 3, 4, 5], np.uint64), np.array([1, 2, 3, 4, 6], np.uint64), np.array([], np.uint64)]
+    near = {(a, b) for a in range(len(sets)) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) / max(len(np.union1d(sets[a], sets[b])), 1) >= 0.8}
+
+    def labels(edges):
+        label = list(range(len(sets)))
+        for a, b in edges:
+            gone, stays = max(label[a], label[b]), min(label[a], label[b])
+            label = [stays if v == gone else v for v in label]
+        return label
+
+    found = simhash.exact_forest(sets, 0.8)
+    assert all((max(e), min(e)) in near for e in found)
+    assert labels(found) == labels(near) and len(found) == len(sets) - len(set(labels(near)))
