@@ -329,6 +329,20 @@ def test_near_dedup_keeps_pairs_below_the_similarity(spark):
     assert set(want) <= {r.doc_id for r in got.collect()}
 
 
+def test_near_dedup_finds_block_edits(spark):
+    rng = np.random.default_rng(13)
+    texts = {}
+    for g in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        changed = int(rng.integers(18, 29)) if g % 3 else int(rng.integers(29, 40))
+        other = [edited(rng, words, False, changed), " ".join(words[changed:]), " ".join([*words, *(f"n{x}" for x in rng.integers(0, 1 << 40, changed))])][g // 3 % 3]
+        texts |= {2 * g: " ".join(words), 2 * g + 1: other}
+    want = brute_kept(texts)
+    assert 150 < len(want) < 250
+    got = corpus_pipeline.dedup_near(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), SF)
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_exact_forest():
     rng = np.random.default_rng(12)
     sets = []
