@@ -272,6 +272,15 @@ def _(spark, sf):
     return stats.bases_at(aligned(spark, sf).where("cigar = '100M'"), sites)
 
 
+@query("sites_depth_all", f"""WITH {ALIGNMENTS}, s AS (SELECT DISTINCT p_partkey % 4 AS reference_id, p_partkey * 50 + 30 AS position FROM part),
+  o AS (SELECT reference_id, position, regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]') AS ops FROM alignments), u AS (SELECT *, unnest(range(1, len(ops) + 1)) AS i FROM o),
+  b AS (SELECT reference_id, position + coalesce(list_sum(list_transform(list_filter(ops[:i - 1], lambda x: x[-1] IN ('M', 'D', 'N', '=', 'X')), lambda x: x[:-2]::BIGINT)), 0) AS start, ops[i][:-2]::BIGINT AS n FROM u WHERE ops[i][-1] IN ('M', '=', 'X'))
+  SELECT s.reference_id, s.position, count(*) AS depth FROM s JOIN b ON s.reference_id = b.reference_id AND s.position >= b.start AND s.position < b.start + b.n GROUP BY 1, 2""")
+def _(spark, sf):
+    sites = table(spark, sf, "part").select((F.col("p_partkey") % 4).alias("reference_id"), (F.col("p_partkey") * 50 + 30).alias("position")).distinct()
+    return stats.bases_at(aligned(spark, sf), sites)
+
+
 @query("reads_by_strand", f"WITH {ALIGNMENTS} SELECT reference_id, flags & 16 <> 0 AS reverse, count(*) AS n FROM alignments GROUP BY ROLLUP (reference_id, flags & 16 <> 0)")
 def _(spark, sf):
     df = aligned(spark, sf).select("reference_id", A.has(F.col("flags"), "reverse").alias("reverse"))

@@ -1,5 +1,7 @@
 """The engine's queries against DuckDB at the smallest size, and readers, writers and edge cases on literals."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,22 @@ def test_query_matches_sql(spark, duck, name):
     assert plain(got.select(columns).collect()) == plain(want.select(*[f'"{c}"' for c in columns]).fetchall())
 
 
+def test_sites_depth_of_every_cigar(spark):
+    rows = derive.alignments(spark, SF).select("reference_id", "position", "cigar").collect()
+    assert {r.cigar for r in rows} == set(derive.CIGARS)
+    sites = {(r.p_partkey % 4, r.p_partkey * 50 + 30) for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    want = {}
+    for r in rows:
+        at = r.position
+        for n, op in re.findall(r"(\d+)([MIDNSHP=X])", r.cigar):
+            for p in range(at, at + int(n)) if op in "M=X" else ():
+                if (r.reference_id, p) in sites:
+                    want[r.reference_id, p] = want.get((r.reference_id, p), 0) + 1
+            at += int(n) if op in "MDN=X" else 0
+    got = {(r.reference_id, r.position): r.depth for r in catalog.queries()["sites_depth_all"](spark, SF).collect()}
+    assert got == want
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
