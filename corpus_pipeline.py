@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from helixframe.llm import linededup, packing, simhash, toxicity
 from helixframe.llm.shared import shared_folder, table
 
-#: Near duplicates: fingerprints on two-word and on five-word shingles and MinHash bands of the latter find the candidates,
-#: the exact Jaccard similarity of the sets of five-word shingles decides.
-NEAR = {"size": 2, "distance": 11, "check_size": 5, "check_distance": 28, "jaccard": 0.8}
+#: Near duplicates: fingerprints on five-word shingles and MinHash bands find the candidates, the exact Jaccard similarity
+#: of the sets of shingles decides.
+NEAR = {"size": 5, "distance": 3, "jaccard": 0.8}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

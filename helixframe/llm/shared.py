@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Bytes of an Arrow batch that Python is given.
 BATCH_BYTES = 4 << 20
+#: Rows of a key from which a join may deal it apart from the others.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a folder of this machine is taken."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset a local master takes a folder of its machine; a cluster can't."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="helixframe-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="helixframe-"))
     return context.getCheckpointDir()
 
 
@@ -59,6 +64,17 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_spread(rows: DataFrame, stats: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` joined to ``stats``, which has one row for a key and in ``count`` how many rows that key has.
+
+    Of keys with over ``HOT`` rows the most frequent are broadcast, one for each shuffle partition at most, so that their rows
+    stay where they are; any other key has at most a partition's share of all rows. ``rows`` is read twice.
+    """
+    hot = stats.where(F.col(count) > HOT).orderBy(F.desc(count), *keys).limit(parts(rows))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(stats, keys))
+
+
 def rows(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[pa.RecordBatch]:
     """The batches, cut to ``most`` rows, which bounds what a Python worker holds as objects."""
     for batch in batches:

@@ -10,51 +10,21 @@ meets. A tile yields the edges of a spanning forest of its links, never the link
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import islice
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm import similar
 from helixframe.llm.components import components
-from helixframe.llm.shared import checkpoint, map_batches, rows, runs, utf8
+from helixframe.llm.shingles import majority, shingles
+from helixframe.llm.shared import checkpoint, join_spread, map_batches, rows, runs, utf8
 
 #: Rows of a block; a tile compares two blocks.
 TILE = 16384
-#: Classes and shingles of a block whose texts are compared exactly.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
-#: MinHash bands and the minima of each: of texts at a Jaccard similarity of 0.8 all but one pair of 2,800 share a band.
-BANDS, BAND_ROWS = 20, 5
-_XORS, _ODDS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64) | np.array([[[0]], [[1]]], np.uint64)
-#: Bits of a byte, the highest first.
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-_CHUNK = 1 << 16
-
-
-def shingles(words: list[bytes], size: int) -> Iterator[bytes]:
-    """All runs of ``size`` words, repeats included; fewer words give the whole sequence, none nothing."""
-    if not words:
-        return iter(())
-    joined = b" ".join(words)
-    if len(words) <= size:
-        return iter((joined,))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    return (joined[a:b] for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()))
-
-
-def majority(hashes: Iterator[bytes], width: int) -> bytes:
-    """Bits set in over half of the hashes of ``width`` bytes; no hash gives zero bits."""
-    counts, n = np.zeros((width, 8), np.int64), 0
-    offsets = np.arange(width, dtype=np.int64) * 256
-    while part := b"".join(islice(hashes, _CHUNK)):
-        seen = np.frombuffer(part, np.uint8).reshape(-1, width) + offsets
-        counts += np.bincount(seen.ravel(), minlength=256 * width).reshape(width, 256) @ _BITS
-        n += len(seen)
-    return np.packbits(counts.ravel() * 2 > n).tobytes()
 
 
 def simhash(text: bytes, size: int = 3, seed: int = 42) -> bytes:
@@ -63,52 +33,16 @@ def simhash(text: bytes, size: int = 3, seed: int = 42) -> bytes:
     return majority((digest(s, seed) for s in shingles(text.lower().split(), size)), 8)
 
 
-def wide_simhash(text: bytes, size: int = 5) -> bytes:
-    """128-bit fingerprint of the same kind, from XXH3."""
-    return majority(map(xxhash.xxh3_128_digest, shingles(text.lower().split(), size)), 16)
-
-
-def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the lower-cased text's word shingles."""
-    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, shingles(text.lower().split(), size))), np.uint64))
-
-
-def bands(shingle_hashes: np.ndarray) -> list[int]:
-    """A key for each MinHash band of the set; none for an empty one."""
-    if not len(shingle_hashes):
-        return []
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(shingle_hashes), 2048):
-        np.minimum(least, ((shingle_hashes[at : at + 2048] ^ _XORS) * _ODDS).min(1), out=least)
-    digests = [xxhash.xxh3_64_digest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, -1))]
-    return np.frombuffer(b"".join(digests), np.int64).tolist()
-
-
-def fingerprints(docs: DataFrame, size: int = 3, check_size: int | None = None, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
-    """``id, fp`` (a long) for every row, and ``wide`` (16 bytes, else null) on ``check_size`` words; null texts are empty.
-
-    ``sets`` adds ``same`` (16 bytes, equal for equal sets of ``check_size``-word shingles), ``many``, how many these are,
-    and their ``bands``.
-    """
+def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, fp`` (a long) for every row; null texts are empty; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
-            texts = [x.as_py() for x in batch.column(1)]
-            fps = [int.from_bytes(simhash(t, size), "big", signed=True) for t in texts]
-            wide = [wide_simhash(t, check_size) if check_size else None for t in texts]
-            out = {"id": batch.column(0), "fp": pa.array(fps, pa.int64()), "wide": pa.array(wide, pa.binary())}
-            if sets:
-                found = [shingle_set(t, check_size) for t in texts]
-                out |= {"same": pa.array([_same(x) for x in found], pa.binary()), "many": pa.array(map(len, found), pa.int64()), "bands": pa.array(map(bands, found), pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            fps = [int.from_bytes(simhash(x.as_py(), size), "big", signed=True) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, fp bigint, wide binary" + (", same binary, many bigint, bands array<bigint>" if sets else "")
-    return map_batches(docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("text")), run, schema)
-
-
-def _same(shingle_hashes: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(shingle_hashes.tobytes())
+    return map_batches(docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("text")), run, f"id {kind}, fp bigint")
 
 
 def ring(distance: int) -> list[tuple[int, int]]:
@@ -146,7 +80,7 @@ def chain_masks(start: int, distance: int) -> list[tuple[np.uint64, int]]:
     return out
 
 
-def forest(fps: np.ndarray, start: int, distance: int, wide: np.ndarray | None = None, wide_distance: int = 0) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, start: int, distance: int) -> list[tuple[int, int]]:
     """Edges (row numbers) of a spanning forest of the links among the fingerprints of one bucket."""
     n = len(fps)
     at = np.uint64(ring(distance)[start][0])
@@ -165,9 +99,6 @@ def forest(fps: np.ndarray, start: int, distance: int, wide: np.ndarray | None =
             a, b, diff = a[keep], b[keep], diff[keep]
         keep = label[a] != label[b]
         a, b = a[keep], b[keep]
-        if wide is not None and len(a):
-            keep = np.bitwise_count(wide[a] ^ wide[b]).sum(1) <= wide_distance
-            a, b = a[keep], b[keep]
         if not len(a):
             continue
         firsts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
@@ -182,9 +113,9 @@ def forest(fps: np.ndarray, start: int, distance: int, wide: np.ndarray | None =
     return edges
 
 
-def links(classes: DataFrame, distance: int, wide_distance: int | None = None) -> DataFrame:
-    """Edges ``a, b`` that connect all linked rows of ``classes`` (``node, fp, wide``, fingerprints distinct)."""
-    keyed = classes.select("node", "fp", *(["wide"] if wide_distance is not None else []), F.explode(bucket_keys(F.col("fp"), distance)).alias("key"))
+def links(classes: DataFrame, distance: int) -> DataFrame:
+    """Edges ``a, b`` that connect all linked rows of ``classes`` (``node, fp``)."""
+    keyed = classes.select("node", "fp", F.explode(bucket_keys(F.col("fp"), distance)).alias("key"))
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -194,90 +125,19 @@ def links(classes: DataFrame, distance: int, wide_distance: int | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["key", "x", "y"]):
             node = group.column("node").to_numpy()
-            wide = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint64).reshape(len(node), -1) if wide_distance is not None else None
-            found = forest(group.column("fp").to_numpy().view(np.uint64), group.column("key")[0].as_py() >> 58, distance, wide, wide_distance or 0)
+            found = forest(group.column("fp").to_numpy().view(np.uint64), group.column("key")[0].as_py() >> 58, distance)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(node[[e[k] for e in found]], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return map_batches(dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y"), run, "a bigint, b bigint")
 
 
-def band_links(classes: DataFrame) -> DataFrame:
-    """Edges ``a, b`` that connect the classes that share a MinHash band; equal sets share all of theirs."""
-    keyed = classes.select("node", F.explode("bands").alias("key"))
-    return keyed.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("key")).alias("b")).where("a <> b").distinct()
-
-
-def exact_forest(sets: list[np.ndarray], jaccard: float) -> list[tuple[int, int]]:
-    """Edges (row numbers) of a spanning forest of the pairs whose sets have at least that Jaccard similarity."""
-    n = len(sets)
-    sizes = np.fromiter(map(len, sets), np.int64, n)
-    ends = np.cumsum(sizes)
-    known, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    mark, left, edges = np.zeros(len(known), bool), np.ones(n, bool), []
-    # Elements of the rows that nothing has reached, and how many rows these were.
-    live, owner, held = codes, np.repeat(np.arange(n), sizes), n
-    for seed in range(n):
-        queue = [seed] if left[seed] else []
-        left[seed] = False
-        while queue:
-            i = queue.pop()
-            rest = int(left.sum())
-            if not rest:
-                return edges
-            if rest * 2 <= held:
-                keep = left[owner]
-                live, owner, held = live[keep], owner[keep], rest
-            mine = codes[ends[i] - sizes[i] : ends[i]]
-            mark[mine] = True
-            shared = np.bincount(owner[mark[live]], minlength=n)
-            mark[mine] = False
-            found = np.flatnonzero(left & (shared / np.maximum(sizes + sizes[i] - shared, 1) >= jaccard)).tolist()
-            edges += [(i, j) for j in found]
-            left[found] = False
-            queue += found
-    return edges
-
-
-def exact_links(candidates: DataFrame, classes: DataFrame, docs: DataFrame, size: int, jaccard: float) -> DataFrame:
-    """Edges ``a, b`` that connect all classes of at least that Jaccard similarity within a component of ``candidates``.
-
-    The similarity is that of the sets of ``size``-word shingles, from the texts of ``docs`` (``id, text``). A component's
-    texts meet in one task, or if they are many in tiles of two blocks each, so that every pair still meets.
-    """
-    roots = components(candidates)
-    members = classes.join(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "node").select("node", "root", "first", "same", "many")
-    stats = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("many") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
-    named = members.join(stats, "root").withColumn("k_", F.xxhash64("first"))
-    texts = docs.select("id", utf8(F.col("text")).alias("text"), F.xxhash64("id").alias("d_"))
-    held = named.join(texts, (F.col("k_") == F.col("d_")) & F.col("first").eqNullSafe(F.col("id"))).select("root", "node", "same", "blocks", "text")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least(own, t).alias("x"), F.greatest(own, t).alias("y")))
-    dealt = held.withColumn("tile", F.explode(tiles)).select("root", F.col("tile.x").alias("x"), F.col("tile.y").alias("y"), "node", "same", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["root", "x", "y"]):
-            sets: dict[int, np.ndarray] = {}
-            for node, same, text in zip(group.column("node").to_pylist(), group.column("same"), group.column("text")):
-                # Rows of one id can have other texts than the class's.
-                if node not in sets and _same(found := shingle_set(text.as_py(), size)) == same.as_py():
-                    sets[node] = found
-            nodes = np.fromiter(sets, np.int64, len(sets))
-            if len(nodes) > 1 and (found := exact_forest(list(sets.values()), jaccard)):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[[e[k] for e in found]], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return map_batches(dealt.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y"), run, "a bigint, b bigint")
-
-
-def near_duplicates(
-    docs: DataFrame, size: int = 3, distance: int = 3, check_size: int | None = None, check_distance: int | None = None, id_col: str = "doc_id", text_col: str = "text", prints: Callable[..., DataFrame] = fingerprints, jaccard: float | None = None
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None) -> DataFrame:
     """``id, fp, component`` for every row: its fingerprint and the smallest id that it reaches by links.
 
-    Fingerprints link at ``distance`` or fewer differing bits (1 to 31). With ``check_size`` a link must also have at most
-    ``check_distance`` of 128 bits different in a second fingerprint on shingles of that many words.
-    With ``jaccard`` such links and shared MinHash bands are candidates only: a link's texts have at least that similarity of their sets of shingles
-    of ``check_size`` words, counted exactly, and equal sets share a component.
+    Fingerprints link at ``distance`` or fewer differing bits (1 to 31). With ``jaccard`` such a link is a candidate only, as is
+    a MinHash band that two texts share (``similar``); a link's texts have at least that similarity of their sets of shingles
+    of ``size`` words, counted exactly, and equal sets share a component.
 
     Texts that are null, empty or blank have the fingerprint zero and link like any other. Equal texts always share a
     component. Rows with the same id each keep their own row. A null id never names a component unless nothing else is
@@ -285,22 +145,18 @@ def near_duplicates(
     """
     if not 1 <= distance <= 31:
         raise ValueError("distance must be from 1 to 31")
-    if jaccard is not None and not check_size:
-        raise ValueError("jaccard needs check_size")
-    each = checkpoint(prints(docs, size, check_size, id_col, text_col, **({"sets": True} if jaccard is not None else {})))
-    keys = ["fp", "wide", *(["same", "many"] if jaccard is not None else [])]
-    classes = checkpoint(each.groupBy(*keys).agg(F.min("id").alias("first"), *([F.any_value("bands").alias("bands")] if jaccard is not None else [])).withColumn("node", F.monotonically_increasing_id()))
-    found = links(classes, distance, check_distance if check_size else None)
+    by = "fp" if jaccard is None else "same"
+    each = checkpoint(fingerprints(docs, size, id_col, text_col) if jaccard is None else similar.prints(docs, size, id_col, text_col))
+    more = [] if jaccard is None else [F.min("fp").alias("fp"), F.any_value("many").alias("many"), F.any_value("bands").alias("bands")]
+    classes = checkpoint(each.groupBy(by).agg(F.min("id").alias("first"), F.count("*").alias("n"), *more).withColumn("node", F.monotonically_increasing_id()))
+    found = links(classes, distance)
     if jaccard is not None:
-        found = exact_links(found.union(band_links(classes)), classes, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), check_size, jaccard)
+        found = similar.exact_links(found, classes, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), size, jaccard)
     roots = components(found)
-    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.join(least, "root").select(*[F.col(k).alias(f"c_{k}") for k in keys], "component")
-    same = F.col("fp") == F.col("c_fp")
-    for k in keys[1:] if check_size else []:
-        same &= F.col(k).eqNullSafe(F.col(f"c_{k}"))
-    return each.join(named, same, "left").select("id", "fp", "component")
+    rooted = checkpoint(classes.select("node", "first", by, "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("size"))
+    named = join_spread(rooted, least, ["root"], "size").select(by, "n", "component")
+    return join_spread(each, checkpoint(named), [by], "n").select("id", "fp", "component")
 
 
 def hex_fingerprint(fp: Column) -> Column:

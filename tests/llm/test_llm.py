@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from helixframe.llm import ann, bpe, chat, components, linededup, packing, queries, shards, simhash, tokens, toxicity, urlfilter, winnow
+from helixframe.llm import ann, bpe, chat, components, linededup, packing, queries, shards, similar, simhash, tokens, toxicity, urlfilter, winnow
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", None, " ", "\n\n", "a", "A b", "a  b   c \n d", "é漢🙂 x", "<|endoftext|> y", "the " * 3000, "x" * 20000]
@@ -360,6 +360,6 @@ def test_exact_forest():
             label = [stays if v == gone else v for v in label]
         return label
 
-    found = simhash.exact_forest(sets, 0.8)
+    found = similar.exact_forest(sets, 0.8)
     assert all((max(e), min(e)) in near for e in found)
     assert labels(found) == labels(near) and len(found) == len(sets) - len(set(labels(near)))
