@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from hashlib import sha256
 from heapq import heappop, heappush
 from struct import pack
 
@@ -15,7 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.shared import map_batches, rows
-from helixframe.llm.tokens import Remembered
+
+
+class Remembered:
+    """A bounded two-generation cache around ``make``: when the young one is full, the old one goes."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int = 250_000, longest: int = 64):
+        self.make, self.most, self.longest, self.young, self.old = make, most, longest, {}, {}
+
+    def __call__(self, key: str) -> bytes:
+        if (found := self.young.get(key)) is not None:
+            return found
+        if (found := self.old.get(key)) is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[key] = found
+        return found
 
 
 class BytePairs:
@@ -29,6 +48,7 @@ class BytePairs:
             self.bytes_of[rank] = word
         self.low = [0] * ((len(self.bytes_of) >> 10) + 1)
         self.buckets: list[list[int]] = [[] for _ in self.bytes_of]
+        self.bit = [1 << i for i in range(1024)]
         self.split = regex.compile(pattern).findall
         self.piece = Remembered(lambda s: pack(f"<{len(ids := self.merge(s.encode()))}I", *ids), 600_000)
 
@@ -39,7 +59,7 @@ class BytePairs:
         bitmap of the ranks with a bucket, 1024 to a word, finds the next rank by its lowest set bits. An entry is stale if
         its node has gone or its pair has another rank by now. The queue ends empty, so that it is kept for the next piece.
         """
-        rank_of, low, buckets, top = self.ranks.get, self.low, self.buckets, 0
+        rank_of, low, buckets, bit_of, top = self.ranks.get, self.low, self.buckets, self.bit, 0
         if (known := rank_of(piece)) is not None:
             return [known]
         n = len(piece)
@@ -48,8 +68,8 @@ class BytePairs:
             if (r := rank_of(piece[i : i + 2])) is not None:
                 pair[i] = r
                 if not (bucket := buckets[r]):
-                    low[r >> 10] |= 1 << (r & 1023)
-                    top |= 1 << (r >> 10)
+                    low[r >> 10] |= bit_of[r & 1023]
+                    top |= bit_of[r >> 10]
                 bucket.append(i)  # ascending, and so a heap
         while top:
             high = top & -top
@@ -73,16 +93,16 @@ class BytePairs:
                 if (r := rank_of(piece[i : end[e]])) is not None:
                     pair[i] = r
                     if not (bucket := buckets[r]):
-                        low[r >> 10] |= 1 << (r & 1023)
-                        top |= 1 << (r >> 10)
+                        low[r >> 10] |= bit_of[r & 1023]
+                        top |= bit_of[r >> 10]
                     heappush(bucket, i)
             if (k := before[i]) >= 0:
                 pair[k] = -1
                 if (r := rank_of(piece[k:e])) is not None:
                     pair[k] = r
                     if not (bucket := buckets[r]):
-                        low[r >> 10] |= 1 << (r & 1023)
-                        top |= 1 << (r >> 10)
+                        low[r >> 10] |= bit_of[r & 1023]
+                        top |= bit_of[r >> 10]
                     heappush(bucket, k)
         out, i = [], 0
         while i < n:
@@ -105,6 +125,12 @@ class BytePairs:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(maxsize=1)
+def byte_pairs(path: str, pattern: str) -> BytePairs:
+    """One for a worker process, whose tasks share its table and remembered pieces."""
+    return BytePairs(path, pattern)
+
+
 def encode_texts(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` for every row: the whole text's ids as little-endian unsigned 32-bit integers.
 
@@ -112,7 +138,7 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.P
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = BytePairs(ranks, pattern)
+        bpe = byte_pairs(ranks, pattern)
         for batch in rows(batches, 500):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.encode(x.as_py() or "") for x in batch.column(1)], pa.binary())], ["doc_id", "ids"])
 
@@ -120,10 +146,10 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.P
 
 
 def decode_ids(encoded: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """``doc_id, ids, decoded`` (bytes) of ``doc_id, ids``; null ids decode to none."""
+    """``doc_id, ids, decoded`` (bytes) of ``doc_id, ids``; null ids decode to none; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = BytePairs(ranks, pattern)
+        bpe = byte_pairs(ranks, pattern)
         for batch in rows(batches, 500):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([bpe.decode(x.as_py() or b"") for x in batch.column(1)], pa.binary())], ["doc_id", "ids", "decoded"])
 
@@ -131,7 +157,18 @@ def decode_ids(encoded: DataFrame, ranks: str, pattern: str = public_tokenizers.
 
 
 def token_digests(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Count and digest of each text's ids, and the digest of the bytes that they decode to."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: count and digest of each text's ids, and the digest of the bytes that they decode to.
+
+    Null and empty texts have no ids; repeated rows each keep a row; an empty table gives an empty result; other columns
+    are ignored. Texts are encoded and decoded in one pass, so that ids don't move.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = byte_pairs(ranks, pattern)
+        for batch in rows(batches, 500):
+            ids = [bpe.encode(x.as_py() or "") for x in batch.column(1)]
+            marks = ([len(x) // 4 for x in ids], [sha256(x).hexdigest() for x in ids], [sha256(bpe.decode(x)).hexdigest() for x in ids])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks[0], pa.int64()), pa.array(marks[1], pa.string()), pa.array(marks[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    both = decode_ids(encode_texts(docs, ranks, pattern, id_col, text_col), ranks, pattern)
-    return both.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

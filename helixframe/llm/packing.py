@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.shared import map_batches, rows
-from helixframe.llm.tokens import FastTokenizer
+from helixframe.llm.tokens import fast_tokenizer
 
 #: Tokens of a sequence, and the attention cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LENGTH, LINEAR, QUADRATIC = 2048, 1.0, 1.0 / 1024
 #: Tokens gathered in a task before a group of sequences is filled: bounds memory, and padding to below one sequence each.
 GROUP = 4_000_000
-#: A piece is never shorter than this if cutting elsewhere avoids it.
-_END = 1
+#: The id that closes a document.
+END = 1
 
 
 def cost(n: int) -> float:
@@ -34,45 +34,52 @@ def assign(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int
     longest first, to the sequence of the lowest cost that has room; what has room nowhere is cut to fill the cheapest
     sequences with any room. Ties go to the smaller number.
     """
-    total = sum(lengths)
-    cheap = [(0.0, s) for s in range(-(-total // length))]  # by cost
-    room = [length] * len(cheap)
-    fill = [0.0] * len(cheap)
+    m = -(-sum(lengths) // length)
+    room, fill = [length] * m, [0.0] * m
+    # How often a sequence has moved: an entry of a heap with an older number is stale.
+    moved = [0] * m
+    # By cost, those that may have room; and those that the last item didn't fit, by room and by cost.
+    cheap = [(0.0, s, 0) for s in range(m)]
+    by_room: list[tuple[int, int, int]] = []
+    by_cost: list[tuple[float, int, int]] = []
     pieces, items = [], []
     for d, n in enumerate(lengths):
-        at = 0
-        while n - at >= length:
-            items.append((length, d, at))
-            at += length
-        if n > at:
-            items.append((n - at, d, at))
+        whole = n - n % length
+        items += [(length, d, at) for at in range(0, whole, length)]
+        if n > whole:
+            items.append((n - whole, d, whole))
+
+    def offer(s: int) -> None:
+        moved[s] += 1
+        heapq.heappush(cheap, (fill[s], s, moved[s]))
 
     def put(d: int, at: int, n: int, s: int) -> None:
         pieces.append((d, at, n, s, length - room[s]))
         room[s] -= n
         fill[s] += cost(n)
         if room[s]:
-            heapq.heappush(cheap, (fill[s], s))
+            offer(s)
 
-    # Sequences by room, so that "room nowhere" is seen without a search: counts of each room.
+    # Items get shorter, so what had no room may have some again; each sequence moves once for a piece that it is given.
     for n, d, at in sorted(items, key=lambda x: (-x[0], x[1], x[2])):
-        skipped = []
+        while by_room and -by_room[0][0] >= n:
+            _, s, t = heapq.heappop(by_room)
+            if moved[s] == t:
+                offer(s)
         while cheap and room[cheap[0][1]] < n:
-            skipped.append(heapq.heappop(cheap))
+            c, s, t = heapq.heappop(cheap)
+            heapq.heappush(by_room, (-room[s], s, t))
+            heapq.heappush(by_cost, (c, s, t))
         if cheap:
-            s = heapq.heappop(cheap)[1]
-            for x in skipped:
-                heapq.heappush(cheap, x)
-            put(d, at, n, s)
+            put(d, at, n, heapq.heappop(cheap)[1])
             continue
-        for k, (_, s) in enumerate(skipped):
-            part = min(room[s], n)
-            put(d, at, part, s)
-            at, n = at + part, n - part
-            if not n:
-                for x in skipped[k + 1 :]:
-                    heapq.heappush(cheap, x)
-                break
+        while n:
+            _, s, t = heapq.heappop(by_cost)
+            if moved[s] == t:
+                part = min(room[s], n)
+                moved[s] += 1
+                put(d, at, part, s)
+                at, n = at + part, n - part
     return pieces
 
 
@@ -87,7 +94,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GRO
     kind = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fast, end = FastTokenizer(tokenizer), np.array([_END], "<u4").tobytes()
+        fast, end = fast_tokenizer(tokenizer), np.array([END], "<u4").tobytes()
         base, held, tokens = TaskContext.get().partitionId() << 32, [], 0
 
         def full() -> Iterator[pa.RecordBatch]:
