@@ -33,6 +33,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session has written, by Hadoop's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared folder; lost executors don't lose what was written."""
     shared_folder(df.sparkSession)
@@ -59,6 +65,23 @@ def utf8(column: Column) -> Column:
     return F.coalesce(column, F.lit("")).cast("binary")
 
 
+def quoted_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly that name, dots included."""
+    return F.col(quoted_name(name))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as the columns of ``df`` call for."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(df: DataFrame) -> int:
     """Shuffle partitions of the session, where a number has to be named."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
