@@ -7,16 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.shared import map_batches, rows
+from helixframe.llm.shared import free_name, map_batches, rows
 
 #: Lengths of the n-grams, and buckets that they are hashed to.
 SIZES, BUCKETS = (3, 4, 5), 1 << 17
 #: Labelled texts that the classifier is fitted on at most, of label 0 and 1; those with the smallest hashes of the id.
 SAMPLE = (1800, 1000)
+#: Code points of the sample at most; the first texts beyond it are left out.
+CHARS = 12_000_000
 #: Weight of a toxic text's error against a clean one's, both labels being made equally frequent first.
 TOXIC_SHARE = 0.45
 _BASE = 0x9E3779B97F4A7C15
@@ -100,17 +102,11 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def sample(marks: DataFrame, most: tuple[int, int] = SAMPLE) -> DataFrame:
-    """At most ``most[label]`` rows of each label (``id, label``), those with the smallest hashes of the id."""
-    each = [marks.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(most[v]) for v in (0, 1)]
-    return each[0].union(each[1])
-
-
 def train(labelled: DataFrame) -> np.ndarray:
     """The model of a bounded sample, fitted in one task; without both labels the model scores every text 0."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", kind="stable")
+        frame = frame.sort_values(["id", "text", "label"], kind="stable")
         return pd.DataFrame({"model": [fit(frame["text"].tolist(), frame["label"].to_numpy()).tobytes()]})
 
     found = labelled.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "model binary").first()
@@ -119,17 +115,23 @@ def train(labelled: DataFrame) -> np.ndarray:
 
 
 def score_texts(docs: DataFrame, model: np.ndarray, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All columns of ``docs`` plus the score of the whole text (null: as the empty one); no shuffle."""
+    """All columns of ``docs`` plus, last, the score of the whole text (null: as the empty one); no shuffle.
+
+    If ``docs`` has a column of the score's name already, underscores are put after it. Repeated rows each keep a row; an
+    empty table gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS + 1 floats at any size
+    name, at = free_name(docs, score_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(held.value)
         for batch in rows(batches):
-            got = pa.array([score(x.as_py() or "") for x in batch.column(text_col)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, got], [*batch.schema.names, score_col])
+            got = pa.array([score(x.as_py() or "") for x in batch.column(0).field(at)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), got], ["row", "score"])
 
-    ddl = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
-    return map_batches(docs, run, ddl)
+    # One struct, for a batch's columns can't have just any names.
+    made = map_batches(docs.select(F.struct("*").alias("row")), run, T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())]))
+    return made.select("row.*", F.col("score").alias(name))
 
 
 def held_out(id_col: str) -> Column:
@@ -140,11 +142,18 @@ def held_out(id_col: str) -> Column:
 def labelled_texts(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, text, label`` of the sample to learn from: labelled and not held out; null ids and labels are left out.
 
-    Ids are sampled before any text is read, so that only the sample's texts move; the sample's size bounds the broadcast.
+    At most ``most[label]`` texts of each label and ``CHARS`` code points in all, those with the smallest hashes of the id;
+    of rows with one id and text one is taken. The sample is drawn from lengths and hashes, so that only its own texts move,
+    and its size bounds the broadcast.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("label")).where("id is not null and label in (0, 1)").where(~held_out("id"))
-    known = marks.distinct().join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(sample(known, most)), "id")
+    text = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    known = marks.distinct().join(text.select("id", "h", F.length("text").alias("n")), "id").distinct()
+    each = [known.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id", "h").limit(most[v]) for v in (0, 1)]
+    # At most sum(most) rows, so that one task may add up their lengths.
+    order = Window.orderBy(F.xxhash64("id"), "id", "h", "label")
+    chosen = each[0].union(each[1]).withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= CHARS).select("id", "h", "label")
+    return text.join(F.broadcast(chosen), ["id", "h"]).groupBy("id", "h", "label").agg(F.min("text").alias("text")).select("id", "text", "label")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
