@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.shared import parts
+from helixframe.llm.shared import checkpoint, map_batches, parts
 
 #: Queries of a block, which a task holds; queries and candidates of a tile.
 BLOCK, TILE_QUERIES, TILE_ROWS = 16384, 512, 4096
@@ -100,21 +100,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     """``query_id, rank, vec_id, score``: each query row's ``k`` nearest other rows by inner product; exact, so recall is 1.
 
     Queries are cut into blocks, candidates into groups; each task streams a group past a block in tiles. What moves is each
-    candidate once for every block of queries and each query once for every group. Ties go to the smaller id. Vectors that
+    candidate once for every block of queries and each query once for every group, in the components' own type. Ties go to the smaller id. Vectors that
     are null, zero, empty or hold null or non-finite components, and rows with a null id, take no part; only vectors of equal length are
-    compared; rows with the query's own id are never its candidates; fewer candidates than ``k`` are all returned.
+    compared; rows with the query's own id are never its candidates; a query
+    row that repeats is one query, a candidate row that repeats is found as often; fewer candidates than ``k`` are all returned.
     """
     clean = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-    rows = clean.select(F.col(id_col).cast("bigint").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("vec"), is_query.alias("asks"))
+    # Written once with a number that spreads rows of one id, which so stays the same when a lost task is repeated.
+    rows = checkpoint(clean.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vec"), is_query.alias("asks"), F.xxhash64(F.monotonically_increasing_id()).alias("salt")))
     n = rows.agg(F.count("*").alias("given"), F.count_if("asks").alias("asked")).first()
     blocks = max(1, math.ceil(n.asked / block))
     # A group fills a tile at least: what tasks return is a heap for each query and group.
     groups = max(1, min(math.ceil(2 * parts(vectors) / blocks), math.ceil(n.given / TILE_ROWS)))
-    spread = lambda m, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
-    asked = rows.where("asks").select("id", "vec", F.lit(0).alias("side"), spread(blocks, 1).alias("blk"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    # A second salt from the whole row spreads rows with one id over the groups.
-    group = F.pmod(F.xxhash64("id", "vec", F.monotonically_increasing_id()), F.lit(groups)).cast("int")
-    given = rows.select("id", "vec", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), group.alias("grp"))
+    spread = lambda m: F.pmod("salt", F.lit(m)).cast("int")
+    asked = rows.where("asks").dropDuplicates(["id", "vec"]).select("id", "vec", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
+    given = rows.select("id", "vec", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), spread(groups).alias("grp"))
     dealt = asked.unionByName(given).withColumn("dim", F.size("vec")).repartition(blocks * groups, "dim", "blk", "grp").sortWithinPartitions("dim", "blk", "grp", "side", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                         block_now = None
                     at, side = task, kind
                 part = batch.slice(a, b - a)
-                ids, x = part.column("id").to_numpy(), part.column("vec").flatten().to_numpy().reshape(b - a, -1)
+                ids, x = part.column("id").to_numpy(), part.column("vec").flatten().to_numpy().astype(np.float64).reshape(b - a, -1)
                 for lo in range(0, b - a, TILE_ROWS):
                     held.append((ids[lo : lo + TILE_ROWS], x[lo : lo + TILE_ROWS]))
                     size += len(held[-1][0])
@@ -155,6 +155,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         if block_now is not None:
             yield from block_now.found()
 
-    best = dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    best = map_batches(dealt, run, "query_id bigint, vec_id bigint, score double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
