@@ -10,6 +10,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.shared import checkpoint, join_spread, map_batches
+from helixframe.llm.shared import rows as cut
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of 64 bits of a block, bits set for a key, bits a key is given, and the most blocks: 8 MB, so it may be broadcast.
 WORDS, PROBES, PER_KEY, MOST = 8, 6, 12, 1 << 17
@@ -47,7 +50,7 @@ def bloom(rules: DataFrame) -> np.ndarray:
             words = [(b * WORDS + w, int(np.uint64(mask >> 64 * w & 0xFFFFFFFFFFFFFFFF).astype(np.int64))) for b, mask in seen.items() for w in range(WORDS)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in words], pa.int64()) for i in (0, 1)], ["word", "bits"])
 
-    found = rules.select(F.xxhash64(F.concat("host", "path")).alias("key")).mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = map_batches(rules.select(F.xxhash64(F.concat("host", "path")).alias("key")), run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     out = np.zeros(blocks * WORDS, np.uint64)
     for r in found.where("bits <> 0").toLocalIterator():
         out[r.word] = np.int64(r.bits).astype(np.uint64)
@@ -83,7 +86,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = held.value.reshape(-1, WORDS)
         table: dict[int, int] = {}
-        for batch in batches:
+        for batch in cut(batches):
             out = []
             for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
                 hits = []
@@ -99,11 +102,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.struct([("h", pa.string()), ("p", pa.string())])))], [*batch.schema.names, "hits"])
 
     kind = split.schema["page_id"].dataType.simpleString()
-    passed = split.mapInArrow(run, f"nth bigint, page_id {kind}, host string, path string, hits array<struct<h:string,p:string>>")
-    spread = passed.select("nth", "page_id", "host", "path", F.explode_outer("hits").alias("hit"))
-    exact = listed.groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
-    joined = spread.join(exact, (F.col("hit.h") == F.col("r_host")) & (F.col("hit.p") == F.col("r_path")), "left")
-    rule = F.concat("r_host", "r_path")
-    best = F.max(F.when(F.col("r_host").isNotNull(), F.struct(F.length(rule).alias("n"), rule.alias("rule"), F.col("r_verdict").alias("verdict"))))
-    judged = joined.groupBy("nth").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("best"))
-    return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # Written once, so that a page's number stays the same when a lost task is repeated.
+    passed = checkpoint(map_batches(split, run, f"nth bigint, page_id {kind}, host string, path string, hits array<struct<h:string,p:string>>"))
+    hits = passed.select("nth", F.explode("hits").alias("hit")).select("nth", "hit.h", "hit.p")
+    exact = listed.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.max("verdict").alias("verdict"))
+    known = hits.groupBy("h", "p").agg(F.count("*").alias("n")).join(exact, ["h", "p"])
+    rule = F.concat("h", "p")
+    best = F.max(F.struct(F.length(rule).alias("size"), rule.alias("rule"), F.col("verdict").alias("verdict")))
+    judged = join_spread(hits, known, ["h", "p"], "n").groupBy("nth").agg(best.alias("best"))
+    # A page is one row on either side; those without a rule are not gathered.
+    return passed.drop("hits").join(judged, "nth", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
