@@ -43,6 +43,8 @@ def gram_hashes(text: np.ndarray, k: int = K) -> np.ndarray:
 
 def winnow(text: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the selected grams, ascending. A text under ``k`` code points is one gram; empty: none."""
+    if not 1 <= w <= 255:
+        raise ValueError("w must be from 1 to 255, so that a step fits a byte")
     p = points(text)
     if not len(p):
         return np.zeros(0, np.int64), np.zeros(0, np.uint32)
