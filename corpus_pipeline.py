@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import linededup, packing, simhash, toxicity
-from helixframe.llm.shared import shared_folder, table
+from helixframe.llm.shared import quoted, quoted_name, remove, shared_folder, table
 
 #: Near duplicates: fingerprints on five-word shingles and MinHash bands find the candidates, the exact Jaccard similarity
 #: of the sets of shingles decides.
@@ -21,38 +21,50 @@ NEAR = {"size": 5, "distance": 3, "jaccard": 0.8}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier gives less than 0.5; it learns from the labelled ones that aren't held out."""
+    """Documents that the classifier gives less than 0.5; it learns from the labelled ones that aren't held out.
+
+    Null texts score as empty ones; without labels of both kinds all documents stay; repeated rows all stay or all go; an empty
+    table gives an empty result; other columns may have any names.
+    """
     model = toxicity.train(toxicity.labelled_texts(docs, table(spark, sf_dir, "labels")))
-    scored = toxicity.score_texts(docs, model, "text", "toxic_score_")
-    return scored.where("toxic_score_ < 0.5").select(*docs.columns)
+    scored = toxicity.score_texts(docs, model, "text", "score")
+    return scored.where(F.col(scored.columns[-1]) < 0.5).select(*map(quoted, docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; of a line that 10 or more of them hold, only its first place stays."""
+    """All documents; of a line that 10 or more of them hold, only its first place stays.
+
+    Texts that lose nothing stay as they are, null ones too; ``n_chars``, if there, is that of the kept text; repeated rows
+    all lose the same; an empty table gives an empty result; other columns may have any names.
+    """
     out = linededup.dedup_lines(docs, min_docs=10, min_chars=1, keep_first=True)
-    lost = F.col("ld_dropped") > 0
-    new = {"text": F.when(lost, F.col("ld_kept")).otherwise(F.col("text")), "n_chars": F.when(lost, F.length("ld_kept").cast("bigint")).otherwise(F.col("n_chars"))}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    dropped, kept = map(F.col, out.columns[-2:])
+    new = {"text": kept, "n_chars": F.length(kept).cast("bigint")}
+    return out.select(*[F.when(dropped > 0, new[c]).otherwise(F.col(c)).alias(c) if c in new else quoted(c) for c in docs.columns])
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each group of near duplicates, by id and then by the text's hash.
 
     Rows with the same id but other texts are documents of their own. Of rows with the same id and text one stays, the
-    least by its other columns. A null id is smaller than all others.
+    least by its other columns. A null id is smaller than all others; null, empty and blank texts are one group; an empty
+    table gives an empty result; other columns may have any names.
     """
     key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
     found = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text"), **NEAR)
-    kept = found.where("id = component").select(F.col("id").alias("near_key_")).distinct()
+    kept = found.where("id = component").select(F.col("id").alias("key")).distinct()
+    rest = [F.col(f"row.{quoted_name(f.name)}") for f in docs.schema.fields if "map<" not in (kind := f.dataType.simpleString()) and "variant" not in kind]
     # One key column, so that the rows of a key stay where the join has put them.
-    joined = docs.withColumn("near_key_", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))).join(kept, "near_key_", "left_semi")
-    rest = [f.name for f in docs.schema.fields if "map<" not in (kind := f.dataType.simpleString()) and "variant" not in kind]
-    one = joined.groupBy("near_key_").agg(F.min_by(F.struct(*docs.columns), F.struct(*rest)).alias("k_row"))
-    return one.select("k_row.*")
+    joined = docs.select(F.struct("*").alias("row"), key.alias("key")).join(kept, "key", "left_semi")
+    return joined.groupBy("key").agg(F.min_by("row", F.struct(*rest)).alias("row")).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of 2048-token sequences, with their ids."""
+    """The pieces of 2048-token sequences, with their ids.
+
+    Null texts are empty, so every row has a piece; repeated rows and null ids are packed like any other; an empty table gives an
+    empty result; other columns are left out.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -62,10 +74,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written in the shared folder and read again, and goes when the next is there."""
+    docs, folder, last = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
