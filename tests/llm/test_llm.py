@@ -131,6 +131,10 @@ def test_winnow_query(spark, docs):
         r = got[a.doc_id]
         assert (r.n_chars, r.edited_sha256) == (len(x), hashlib.sha256(edited.encode()).hexdigest())
         assert r.fingerprint == winnow.encode(*winnow.winnow(x)) and r.edited_fingerprint == winnow.encode(*winnow.winnow(edited))
+        own, changed, after = (set(winnow.winnow(t)[1].tolist()) for t in (x, edited, y))
+        assert r.near_edited == (len(own & changed) / len(own | changed) if own | changed else 1) and r.near_next == (len(own & after) / len(own | after) if own | after else 1)
+    with pytest.raises(ValueError):
+        winnow.winnow("a" * 1000, 12, 256)
     assert winnow.edited_fingerprints(docs.limit(0)).count() == 0
 
 
@@ -194,6 +198,122 @@ def test_assign_is_tight():
     assert sum(p[2] for p in pieces) == sum(lengths) and len({p[3] for p in pieces}) == -(-sum(lengths) // 2048)
 
 
+def test_assign_equals_a_plain_search():
+    """The longest first, each to the cheapest sequence with room; what fits nowhere fills the cheapest with any room."""
+    rng = np.random.default_rng(4)
+    for case in range(60):
+        length = int(rng.integers(3, 40))
+        lengths = rng.integers(1, int(rng.integers(2, 100)), int(rng.integers(1, 60))).tolist()
+        m = -(-sum(lengths) // length)
+        room, fill, want = [length] * m, [0.0] * m, []
+        items = [(min(length, n - at), d, at) for d, n in enumerate(lengths) for at in range(0, n, length)]
+        for n, d, at in sorted(items, key=lambda x: (-x[0], x[1], x[2])):
+            while n:
+                fits = [s for s in range(m) if room[s] >= n] or [s for s in range(m) if room[s]]
+                s = min(fits, key=lambda s: (fill[s], s))
+                part = min(n, room[s])
+                want.append((d, at, part, s, length - room[s]))
+                room[s], fill[s], at, n = room[s] - part, fill[s] + packing.cost(part), at + part, n - part
+        assert packing.assign(lengths, length) == want, case
+
+
+def test_fit_matches_plain_steps():
+    """Naive Bayes log-count ratios, and the first step of the logistic loss, over features counted one by one."""
+    texts, labels = ["you bad bad", "so good", "bad", "fine and good", ""], np.array([1, 0, 1, 0, 0])
+    sets = [set(np.concatenate([np.zeros(0, int), *toxicity.grams(t)]).tolist()) for t in texts]
+    assert [set(toxicity.features(t).tolist()) for t in texts] == sets
+    seen = {0: {}, 1: {}}
+    for s, y in zip(sets, labels):
+        for f in s:
+            seen[int(y)][f] = seen[int(y)].get(f, 0) + 1
+    total = {y: sum(seen[y].values()) + toxicity.BUCKETS for y in (0, 1)}
+    ratio = {f: np.log((seen[1].get(f, 0) + 1) / total[1]) - np.log((seen[0].get(f, 0) + 1) / total[0]) for f in set().union(*sets)}
+    model = toxicity.fit(texts, labels, rounds=1)
+    share = {1: toxicity.TOXIC_SHARE / 2, 0: (1 - toxicity.TOXIC_SHARE) / 3}
+    for f, r in ratio.items():
+        slope = sum((0.5 - y) * share[int(y)] / max(1, len(s)) ** 0.5 for s, y in zip(sets, labels) if f in s) * r
+        step = -0.05 * slope / (abs(slope) + 1e-9)
+        assert abs(model[f] - step * r) < 1e-5
+    scorer = toxicity.Scorer(toxicity.fit(texts, labels))
+    assert scorer("bad") > 0.5 > scorer("good") and scorer("") == scorer("  ")
+    for t in texts:
+        z = sum(float(scorer.weight[f]) for f in toxicity.features(t)) / max(1, len(toxicity.features(t))) ** 0.5 + scorer.offset
+        assert abs(scorer(t) - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x" * 50)] * 40 + [(1, f"text {i}") for i in range(30)] + [(i, "y" * 90) for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, toxic int")
+    got = toxicity.labelled_texts(docs, labels, (10, 7)).collect()
+    assert {(r.id, r.text) for r in got} <= {(r.doc_id, r.text) for r in docs.collect()} and len({(r.id, r.text) for r in got}) == len(got)
+    assert sum(r.label == 0 for r in got) == 10 and sum(r.label == 1 for r in got) == 7
+    monkeypatch.setattr(toxicity, "CHARS", 300)
+    assert sum(len(r.text) for r in toxicity.labelled_texts(docs, labels, (10, 7)).collect()) <= 300
+
+
+def hostile(spark):
+    """Nulls in every column, repeated rows, and columns named like those that operators make themselves."""
+    names = ["row", "id", "text_", "version", "words", "h", "key", "score", "ld_lines", "ld_dropped", "ld_kept", "fp", "label", "b_id", "a.b", "n_chars"]
+    rows = [(1, "a bad line\nb", *["c"] * 16, 12), (1, "a bad line\nb", *["c"] * 16, 12), (None, None, *[None] * 17), (2, "", *["d"] * 16, 0), (3, "é" * 5000, *["e"] * 16, 5000)]
+    return spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in [*names[:-1], "component"]) + ", n_chars long")
+
+
+def test_hostile_tables(spark):
+    df, labels = hostile(spark), spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    names = df.columns
+    for rows in (df, df.limit(0)):
+        n = rows.count()
+        for f in (corpus_pipeline.drop_toxic, corpus_pipeline.dedup_lines, corpus_pipeline.dedup_near):
+            got = f(spark, rows, SF)
+            assert got.columns == names and {str(r) for r in got.collect()} <= {str(r) for r in rows.collect()}, f.__name__
+        lines = linededup.dedup_lines(rows)
+        assert lines.columns[: len(names)] == names and lines.columns[-3:] == ["ld_lines_", "ld_dropped_", "ld_kept_"] and lines.count() == n
+        tox = toxicity.toxicity(rows, labels)
+        assert tox.columns == ["doc_id", "held_out", "score", "predicted"] and tox.count() == n
+        assert shards.shard(rows).count() == n and packing.pack(rows, public_tokenizers.path("byte_bpe_50k.json")).where("start = 0").count() == n
+        assert bpe.token_digests(rows, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == n
+        assert winnow.edited_fingerprints(rows).count() == n and simhash.near_duplicates(rows).count() == n
+    kept = corpus_pipeline.dedup_near(spark, df, SF).collect()
+    # Blank texts are one group, whose smallest id is the null one; of equal rows one stays.
+    assert sorted(map(str, (r.doc_id for r in kept))) == ["1", "3", "None"]
+    twice = {r.doc_id: r for r in toxicity.toxicity(df, labels).collect()}
+    assert set(twice) == {1, 2, 3, None} and 0 <= twice[None].score <= 1 and twice[None].score == twice[2].score
+
+
+def test_hostile_searches(spark):
+    vectors = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (1, [0.5, 0.5], 2), (1, [0.5, 0.5], 2), (2, None, None), (None, [1.0, 1.0], 3)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, salt int")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, 20).collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 1, 0.5), (0, 2, 1, 0.5)]
+    pages = spark.createDataFrame([(1, "http://a.org/", "x"), (1, "http://a.org/", "x"), (None, None, None)], "page_id long, url string, host string")
+    rules = spark.createDataFrame(queries.RULES, "host string, path string, verdict string")
+    assert sorted((str(r.page_id), r.rule, r.verdict) for r in urlfilter.judge(pages, rules).collect()) == [("1", "org/", "allow"), ("1", "org/", "allow"), ("None", None, "allow")]
+    assert urlfilter.judge(pages.limit(0), rules).count() == 0
+    # More hits of one rule than a join deals together.
+    many = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.org/"), F.col("id")).alias("url"))
+    assert urlfilter.judge(many, rules).where("rule = 'org/'").count() == 3000
+
+
+def test_line_dedup_of_a_frequent_line(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Common\nown "), F.col("id"), F.lit("\n\tCOMMON ")).alias("text"))
+    got = {r.doc_id: (r.ld_lines, r.ld_dropped, r.ld_kept) for r in linededup.dedup_lines(df, keep_first=True).collect()}
+    assert got == {i: (3, 2, f"own {i}") if i else (3, 1, "Common\nown 0") for i in range(3000)}
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Groups above the size of a part, of a block and of a join's frequent key."""
+    for name, value in (("LARGE", 8), ("BLOCK", 16)):
+        monkeypatch.setattr(similar, name, value)
+    rng = np.random.default_rng(17)
+    texts = {}
+    for g, n in enumerate((120, 60, 5)):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        for i in range(n):
+            texts[1000 * g + i] = edited(rng, words, True, int(rng.integers(1, 6)))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_near(spark, frame, SF).collect()) == brute_kept(texts)
+
+
 def test_tokenizers_agree():
     ranks_path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ours, fast = bpe.BytePairs(ranks_path, public_tokenizers.PATTERN), tokens.FastTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
@@ -209,8 +329,15 @@ def test_tokenizers_agree():
 
 def test_bpe_query(spark, docs):
     got = {r.doc_id: r for r in bpe.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()}
+    ours = bpe.BytePairs(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ours.ranks, special_tokens={})
     for r in docs.collect():
+        ids = lib.encode_ordinary(r.text or "")
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    both = bpe.decode_ids(bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert {r.doc_id: bytes(r.decoded).decode() for r in both.collect()} == {r.doc_id: r.text or "" for r in docs.collect()}
+    assert bpe.token_digests(docs.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
 
 
 def test_line_dedup(spark):
@@ -233,13 +360,28 @@ def test_chat(spark):
     assert digest.loss_sha256 == hashlib.sha256((nasty[1] + nasty[3]).encode()).hexdigest()
 
 
+def test_chat_order_and_mask(spark):
+    rows = [(1, 0, "assistant", "Z"), (1, 0, "assistant", "<"), (1, None, "user", "first"), (1, 0, "assistant", "<"), (2, 0, "user", "only")]
+    made = chat.format_turns(chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    got = {r.conv_id: r for r in made.collect()}
+    assert got[1].formatted == "".join(f"<turn>{r}\n{t}</turn>\n" for r, t in [("user", "first"), ("assistant", "\\l"), ("assistant", "\\l"), ("assistant", "Z")])
+    assert [got[1].formatted[s.start : s.start + s.length] for s in got[1].loss] == ["\\l", "\\l", "Z"] and got[2].loss == []
+    back = {r.conv_id: r for r in chat.read_back(made).collect()}
+    assert (back[1].loss_chars, back[1].loss_sha256) == (3, hashlib.sha256(b"<<Z").hexdigest()) and back[2].loss_chars == 0
+    assert chat.read_back(made.limit(0)).count() == 0 and chat.format_turns(chat.canonical_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
 def test_chat_layouts(spark):
     payloads = ['{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}],"id":3}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', '{"instruction":"q","input":"","output":"a"}', '{"prompt":"q","completion":"a"}', '{"question":"q","answer":"a"}', '{"other":1}', None]
     df = spark.createDataFrame(list(enumerate(payloads)), "conv_id long, payload string")
     got = {}
     for r in sorted(chat.json_turns(df).collect(), key=lambda r: (r.conv_id, r.turn)):
         got.setdefault(r.conv_id, []).append((r.role, r.text))
-    assert got == {i: [("user", "q"), ("assistant", "a")] for i in range(5)}
+    # What has no mapping is there, without a turn.
+    assert got == {i: [("user", "q"), ("assistant", "a")] for i in range(5)} | {5: [(None, None)], 6: [(None, None)]}
+    named = spark.createDataFrame([(1, '{"messages":[{"name":"n","role":"user","content":"q","weight":1}]}')], "conv_id long, payload string")
+    assert [(r.role, r.text, r.layout) for r in chat.json_turns(named).collect()] == [("user", "q", "messages")]
+    assert spark.range(1).select(F.xxhash64(F.lit("a{b,c}"))).first()[0] == chat.fingerprint("a{b,c}")
     with pytest.raises(ValueError):
         chat.canonical_turns(df)
 
