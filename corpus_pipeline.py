@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import linededup, packing, simhash, toxicity
-from helixframe.llm.shared import quoted, quoted_name, remove, shared_folder, table
+from helixframe.llm.shared import BROADCAST, checkpoint, few, quoted, quoted_name, remove, shared_folder, table
 
 #: Near duplicates: fingerprints on five-word shingles and MinHash bands find the candidates, the exact Jaccard similarity
 #: of the sets of shingles decides.
@@ -50,13 +50,17 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     least by its other columns. A null id is smaller than all others; null, empty and blank texts are one group; an empty
     table gives an empty result; other columns may have any names.
     """
-    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    row, key = F.struct("*").alias("row"), F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
     found = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text"), **NEAR)
-    kept = found.where("id = component").select(F.col("id").alias("key")).distinct()
+    # Documents that go, and those that stay once of several rows: most documents are neither, and needn't move.
+    marks = checkpoint(found.groupBy("id").agg(F.count("*").alias("n"), F.min("component").alias("component")).where("id <> component or n > 1"))
+    marked, again = marks.select(F.col("id").alias("key")), marks.where("id = component").select(F.col("id").alias("key"))
+    if few(marks, BROADCAST):
+        marked, again = F.broadcast(marked), F.broadcast(again)
+    keyed = docs.select(row, key.alias("key"))
     rest = [F.col(f"row.{quoted_name(f.name)}") for f in docs.schema.fields if "map<" not in (kind := f.dataType.simpleString()) and "variant" not in kind]
-    # One key column, so that the rows of a key stay where the join has put them.
-    joined = docs.select(F.struct("*").alias("row"), key.alias("key")).join(kept, "key", "left_semi")
-    return joined.groupBy("key").agg(F.min_by("row", F.struct(*rest)).alias("row")).select("row.*")
+    one = keyed.join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.struct(*rest)).alias("row"))
+    return keyed.join(marked, "key", "left_anti").select("row").union(one.select("row")).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Bytes of an Arrow batch that Python is given.
 BATCH_BYTES = 4 << 20
+#: Rows of hashes that are broadcast at most, some 100 MB; more go by a shuffle.
+BROADCAST = 1_000_000
 #: Rows of a key from which a join may deal it apart from the others.
 HOT = 1000
 
@@ -40,9 +42,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder; lost executors don't lose what was written."""
+    """Cut lineage in the shared folder; lost executors don't lose what was written.
+
+    The shuffles behind it aren't needed any more. Spark deletes those that the driver's collector has found unused, which
+    in a job of many steps comes late, so the collector is asked.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
@@ -98,6 +106,11 @@ def join_spread(rows: DataFrame, stats: DataFrame, keys: list[str], count: str)
     return rows.join(F.broadcast(hot), keys).unionByName(rest.join(stats, keys))
 
 
+def few(df: DataFrame, most: int) -> bool:
+    """Whether ``df`` has at most ``most`` rows, which decides if it may be broadcast; no more than that are counted."""
+    return df.select(F.lit(1)).limit(most + 1).count() <= most
+
+
 def rows(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[pa.RecordBatch]:
     """The batches, cut to ``most`` rows, which bounds what a Python worker holds as objects."""
     for batch in batches:

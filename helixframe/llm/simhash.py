@@ -116,11 +116,15 @@ def forest(fps: np.ndarray, start: int, distance: int) -> list[tuple[int, int]]:
 def links(classes: DataFrame, distance: int) -> DataFrame:
     """Edges ``a, b`` that connect all linked rows of ``classes`` (``node, fp``)."""
     keyed = classes.select("node", "fp", F.explode(bucket_keys(F.col("fp"), distance)).alias("key"))
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
-    blocks = F.coalesce("blocks", F.lit(1))
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda t: F.struct(F.least(own, t).alias("x"), F.greatest(own, t).alias("y")))
-    dealt = keyed.join(hot, "key", "left").withColumn("tile", F.explode(tiles)).drop("blocks").select("*", F.col("tile.x").alias("x"), F.col("tile.y").alias("y")).drop("tile")
+    hot = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
+    whole, dealt = keyed.withColumn("x", F.lit(0)).withColumn("y", F.lit(0)), None
+    if not hot.isEmpty():
+        blocks = F.ceil(F.col("n") / TILE).cast("int")
+        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda t: F.struct(F.least(own, t).alias("x"), F.greatest(own, t).alias("y")))
+        dealt = join_spread(keyed, hot, ["key"], "n").select("node", "fp", "key", F.explode(tiles).alias("tile")).select("node", "fp", "key", "tile.x", "tile.y")
+        whole = whole.join(hot, "key", "left_anti")
+    dealt = whole.unionByName(dealt) if dealt else whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["key", "x", "y"]):

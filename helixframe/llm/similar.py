@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.components import components
-from helixframe.llm.shared import checkpoint, join_spread, map_batches, rows, runs, utf8
+from helixframe.llm.shared import BROADCAST, checkpoint, few, join_spread, map_batches, rows, runs, utf8
 from helixframe.llm.shingles import majority, shingles
 
 #: MinHash bands and the minima of each: of pairs at a Jaccard similarity of 0.8 all but one of 350 share a band.
@@ -88,7 +88,12 @@ def prints(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "
 def sets_of(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """``node, shingles`` (sorted longs) of the classes ``members`` (``node, first, same``), from the texts of ``docs`` (``id, text``)."""
     keyed = members.select("node", "same", F.col("first").alias("m_id"), F.xxhash64("first").alias("m_h"))
-    texts = docs.select("id", utf8(F.col("text")).alias("text"), F.xxhash64("id").alias("d_h"))
+    texts = docs.select("id", "text", F.xxhash64("id").alias("d_h"))
+    marks = keyed.select(F.col("m_h").alias("d_h")).distinct()
+    if few(members, BROADCAST):
+        # Then only the members' texts move.
+        texts = texts.join(F.broadcast(marks), "d_h", "left_semi")
+    texts = texts.withColumn("text", utf8(F.col("text")))
     held = texts.join(keyed, (F.col("m_h") == F.col("d_h")) & F.col("m_id").eqNullSafe(F.col("id"))).select("node", "same", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
