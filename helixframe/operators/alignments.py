@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import alignment as A
+from helixframe.operators import intervals
+
+#: References of a header that may be broadcast.
+NAMES = 100_000
 
 
 def _count(condition: Column) -> Column:
@@ -94,3 +98,42 @@ def bases_at(df: DataFrame, sites: DataFrame) -> DataFrame:
     left = blocks.select(F.col("reference_id").alias("chrom"), (F.col("position") + F.col("b.start")).cast("bigint").alias("start"), (F.col("position") + F.col("b.end")).cast("bigint").alias("end"))
     right = sites.select(F.col("reference_id").alias("chrom"), F.col("position").cast("bigint").alias("start"), (F.col("position") + 1).cast("bigint").alias("end"))
     return overlap_join(left, right).groupBy(F.col("r_chrom").alias("reference_id"), F.col("r_start").alias("position")).agg(F.count("*").alias("depth"))
+
+
+def n50(df: DataFrame, by: str, length: str) -> DataFrame:
+    """The length at which the longer ones hold half of all bases, for each group; from a histogram, so that only lengths are sorted."""
+    counts = df.groupBy(by, F.col(length).alias("n")).agg(F.count("*").alias("k"))
+    held = counts.withColumn("bases", F.col("n") * F.col("k"))
+    upto, total = F.sum("bases").over(Window.partitionBy(by).orderBy(F.desc("n"))), F.sum("bases").over(Window.partitionBy(by))
+    return held.withColumn("upto", upto).withColumn("total", total).where(F.col("upto") * 2 >= F.col("total")).groupBy(by).agg(F.max("n").alias("n50"))
+
+
+def by_reference_name(df: DataFrame, names: DataFrame) -> DataFrame:
+    """``name, n`` by the references' names (``id, name``); without one ``*``. Alignments are counted before they are named.
+
+    The names are broadcast if they are as few as a header's, else joined by a shuffle of the counts.
+    """
+    counts = df.groupBy("reference_id").agg(F.count("*").alias("n"))
+    few = names.limit(NAMES + 1).count() <= NAMES
+    named = counts.join(F.broadcast(names) if few else names, F.col("reference_id") == F.col("id"), "left")
+    return named.groupBy(F.coalesce("name", F.lit("*")).alias("name")).agg(F.sum("n").alias("n"))
+
+
+def coverage_bins(df: DataFrame, width: int) -> DataFrame:
+    """``reference_id, bin, bases, covered``: depth over the reference spans of mapped alignments, by ``width`` positions."""
+    spans = df.where(~A.has(F.col("flags"), "unmapped")).select(F.col("reference_id").alias("chrom"), F.col("position").cast("bigint").alias("start"), (F.col("position") + A.cigar_length(A.parse_cigar(F.col("cigar")))).cast("bigint").alias("end"))
+    depth = intervals.depth(spans.where(F.col("start") < F.col("end")))
+    return depth.groupBy(F.col("chrom").alias("reference_id"), F.floor(F.col("position") / width).alias("bin")).agg(F.sum("depth").alias("bases"), F.count("*").alias("covered"))
+
+
+def qc_report(df: DataFrame) -> DataFrame:
+    """One row of a run's quality figures in one pass."""
+    f, flag = F.col("flags"), lambda n: _count(A.has(F.col("flags"), n)).alias({"proper_pair": "proper", "duplicate": "duplicates"}.get(n, n))
+    length = A.cigar_length(A.parse_cigar(F.col("cigar")))
+    return df.agg(F.count("*").alias("n"), _count(A.is_mapped(f)).alias("mapped"), flag("proper_pair"), flag("duplicate"), flag("secondary"), _count(F.col("mapq") >= 30).alias("high_mapq"), F.avg("mapq").alias("mean_mapq"), F.sum("nm").alias("edits"), F.max(F.abs("template_length")).alias("longest_insert"), F.sum(length).alias("reference_bases"))
+
+
+def depth_shares(depth: DataFrame, least: tuple[int, ...]) -> DataFrame:
+    """``chrom, covered, share_<n>, median``: of the covered positions the share with a depth of ``n`` or more."""
+    shares = [(_count(F.col("depth") >= n) / F.count("*")).alias(f"share_{n}") for n in least]
+    return depth.groupBy("chrom").agg(F.count("*").alias("covered"), *shares, F.percentile("depth", 0.5).alias("median"))

@@ -26,10 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table with less than a scan partition for each core is dealt to the cores, so that dear expressions use them all.
+
+    Larger tables stay as they are: their scan has tasks enough, and a shuffle of theirs would cost more than it gives.
+    """
+    spark = df.sparkSession
+    cores, most = spark.sparkContext.defaultParallelism, df._jdf.sparkSession().sessionState().conf().filesMaxPartitionBytes()
+    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < cores * most
+    return df.repartition(cores) if small else df
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, lang, seq, qual`` from whole texts."""
-    raw = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.regexp_replace("text", f"[^{LETTERS}]", "").alias("raw"))
-    return raw.select("id", "lang", F.translate("raw", LETTERS, BASES).alias("seq"), F.reverse(F.translate("raw", LETTERS, QUALS)).alias("qual"))
+    """``id, lang, seq, qual`` from whole texts.
+
+    They come out of a generator, through which no filter is pushed, so each is computed once however often it is mentioned.
+    """
+    raw = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select(F.col("doc_id").alias("id"), "lang", F.regexp_replace("text", f"[^{LETTERS}]", "").alias("raw"))
+    made = F.struct(F.translate("raw", LETTERS, BASES).alias("seq"), F.reverse(F.translate("raw", LETTERS, QUALS)).alias("qual"))
+    return raw.select("id", "lang", F.inline(F.array(made)))
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,9 @@ def path_lengths(paths: DataFrame, segments: DataFrame) -> DataFrame:
     """Summed segment lengths of each path (``name, steps`` with an orientation sign at each step's end)."""
     steps = paths.select(F.col("name").alias("path"), F.explode("steps").alias("s")).select("path", F.regexp_replace("s", "[+-]$", "").alias("name"))
     return steps.join(segments.select("name", "length"), "name").groupBy("path").agg(F.sum("length").alias("bases"), F.count("*").alias("steps"))
+
+
+def totals(segments: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: numbers of segments and links, and the segments' total, shortest, longest and mean length."""
+    s = segments.agg(F.count("*").alias("segments"), F.sum("length").alias("bases"), F.min("length").alias("shortest"), F.max("length").alias("longest"), F.avg("length").alias("mean"))
+    return s.crossJoin(F.broadcast(edges.agg(F.count("*").alias("links"))))

@@ -99,3 +99,16 @@ def sliding_min(rows: DataFrame, w: int, by: str, order: str, value: str) -> Dat
     span = over.rowsBetween(-(w - 1), 0)
     out = rows.select(by, order, F.min(F.struct(F.col(value).alias("v"), F.col(order).alias("at"))).over(span).alias("m"), F.row_number().over(over).alias("n_"))
     return out.where(F.col("n_") >= w).select(by, order, F.col("m.v").alias("value"), F.col("m.at").alias("min_at"))
+
+
+def jaccard(spectrum: DataFrame, by: str) -> DataFrame:
+    """``a, b, jaccard`` of the k-mer sets of each two groups that share one; ``spectrum`` has ``kmer`` and the group's column.
+
+    A k-mer's groups are gathered as a set, of as many as there are groups, and pairs are counted from it.
+    """
+    sizes = spectrum.groupBy(by).agg(F.count("*").alias("n"))
+    groups = spectrum.groupBy("kmer").agg(F.array_sort(F.collect_set(by)).alias("g"))
+    pairs = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    both = groups.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("both"))
+    x, y = sizes.select(F.col(by).alias("a"), F.col("n").alias("x")), sizes.select(F.col(by).alias("b"), F.col("n").alias("y"))
+    return both.join(x, "a").join(y, "b").select("a", "b", (F.col("both") / (F.col("x") + F.col("y") - F.col("both"))).alias("jaccard"))

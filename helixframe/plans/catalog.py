@@ -16,6 +16,7 @@ from helixframe.operators.derive import ALIGNMENTS, INTERVALS, READS, table
 from helixframe.operators.derive import alignments as aligned
 from helixframe.operators.derive import intervals as spans
 from helixframe.operators.derive import reads
+from helixframe.plans import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -83,8 +84,9 @@ def _(spark, sf):
   FROM t WHERE {_MEAN} >= 20 AND length(seq) >= 30 GROUP BY lang""")
 def flagship_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trim ends below Q20, keep reads of mean Q20 and 30 bases, and describe them by language."""
-    cut = reads(spark, sf_dir).select("lang", S.trim_quality(F.col("seq"), F.col("qual"), 20, start=False).alias("seq"), S.trim_quality(F.col("qual"), F.col("qual"), 20, start=False).alias("qual"))
-    kept = cut.where((S.mean_quality(F.col("qual")) >= 20) & (F.length("seq") >= 30))
+    end = reads(spark, sf_dir).select("lang", F.inline(F.array(F.struct("seq", "qual", S.quality_end(F.col("qual"), 20).alias("n")))))
+    cut = end.select("lang", F.substr("seq", F.lit(1), "n").alias("seq"), F.substr("qual", F.lit(1), "n").alias("qual"))
+    kept = cut.where((F.length("seq") >= 30) & S.passes_quality(F.col("qual"), 20))
     return kept.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("bases"), F.round(F.avg(S.gc_content(F.col("seq"))), 9).alias("gc"))
 
 
@@ -123,7 +125,25 @@ def _(spark, sf):
     return kmers.minimizers(reads(spark, sf), 5, 4)
 
 
-@query("minimizers_nthash")
+def _nthash_sql(k: int) -> str:
+    """The canonical ntHash of ``kmer`` as an unsigned number: rotated seeds are constants; other letters than bases hash as 0."""
+    turn = lambda x, n: ((x << n) | (x >> (64 - n))) & ((1 << 64) - 1)
+    pair = {"A": "T", "C": "G", "G": "C", "T": "A"}
+
+    def strand(seed: Callable[[str], int], by: Callable[[int], int]) -> str:
+        out = "0::UHUGEINT"
+        for i in range(k):
+            out = f"xor({out}, CASE kmer[{i + 1}] " + " ".join(f"WHEN '{b}' THEN {turn(seed(b), by(i))}::UHUGEINT" for b in "ACGT") + " ELSE 0::UHUGEINT END)"
+        return out
+
+    return f"least({strand(lambda b: K.NT_SEEDS[b], lambda i: k - 1 - i)}, {strand(lambda b: K.NT_SEEDS[pair[b]], lambda i: i)})"
+
+
+@query("minimizers_nthash", f"""WITH {READS}, {_KMERS.format(k=5)}, h AS (SELECT kmer, {_nthash_sql(5)} AS hash FROM (SELECT DISTINCT kmer FROM kmers)),
+  p AS (SELECT id, position, hash FROM kmers JOIN h USING (kmer)), n AS (SELECT id, length(seq) - 8 AS last FROM reads WHERE length(seq) >= 8),
+  w AS (SELECT id, unnest(range(greatest(position - 3, 0), least(position, last) + 1)) AS start, hash, position FROM p JOIN n USING (id)),
+  m AS (SELECT id, start, min(struct_pack(hash := hash, position := position)) AS m FROM w GROUP BY id, start)
+  SELECT DISTINCT id, m.position::BIGINT AS position, (CASE WHEN m.hash >= 9223372036854775808 THEN m.hash::HUGEINT - 18446744073709551616 ELSE m.hash::HUGEINT END)::BIGINT AS hash FROM m""")
 def _(spark, sf):
     return kmers.nthash_minimizers(reads(spark, sf), 5, 4)
 
@@ -266,13 +286,6 @@ def _(spark, sf):
 
 
 @query("sites_depth", f"""WITH {ALIGNMENTS}, s AS (SELECT DISTINCT p_partkey % 4 AS reference_id, p_partkey * 50 + 30 AS position FROM part),
-  m AS (SELECT * FROM alignments WHERE cigar = '100M') SELECT s.reference_id, s.position, count(*) AS depth FROM s JOIN m ON s.reference_id = m.reference_id AND s.position >= m.position AND s.position < m.position + 100 GROUP BY 1, 2""")
-def _(spark, sf):
-    sites = table(spark, sf, "part").select((F.col("p_partkey") % 4).alias("reference_id"), (F.col("p_partkey") * 50 + 30).alias("position")).distinct()
-    return stats.bases_at(aligned(spark, sf).where("cigar = '100M'"), sites)
-
-
-@query("sites_depth_all", f"""WITH {ALIGNMENTS}, s AS (SELECT DISTINCT p_partkey % 4 AS reference_id, p_partkey * 50 + 30 AS position FROM part),
   o AS (SELECT reference_id, position, regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]') AS ops FROM alignments), u AS (SELECT *, unnest(range(1, len(ops) + 1)) AS i FROM o),
   b AS (SELECT reference_id, position + coalesce(list_sum(list_transform(list_filter(ops[:i - 1], lambda x: x[-1] IN ('M', 'D', 'N', '=', 'X')), lambda x: x[:-2]::BIGINT)), 0) AS start, ops[i][:-2]::BIGINT AS n FROM u WHERE ops[i][-1] IN ('M', '=', 'X'))
   SELECT s.reference_id, s.position, count(*) AS depth FROM s JOIN b ON s.reference_id = b.reference_id AND s.position >= b.start AND s.position < b.start + b.n GROUP BY 1, 2""")
@@ -336,12 +349,12 @@ def _(spark, sf):
     return table(spark, sf, "part").groupBy(F.col("p_type").alias("biotype")).agg(F.count("*").alias("n"))
 
 
-_GRAPH = "s AS (SELECT p_partkey AS name, p_size AS length FROM part), e AS (SELECT l_partkey AS a, l_partkey + l_suppkey AS b FROM lineitem WHERE l_returnflag = 'R')"
+_GRAPH = "s AS (SELECT p_partkey AS name, p_size AS length FROM part), e AS (SELECT l_partkey AS a, l_partkey + l_suppkey AS b FROM lineitem)"
 
 
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     segments = table(spark, sf, "part").select(F.col("p_partkey").alias("name"), F.col("p_size").cast("bigint").alias("length"))
-    edges = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("from_segment"), (F.col("l_partkey") + F.col("l_suppkey")).alias("to_segment"))
+    edges = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("from_segment"), (F.col("l_partkey") + F.col("l_suppkey")).alias("to_segment"))
     return segments, edges
 
 
@@ -430,6 +443,104 @@ def _(spark, sf):
     return table(spark, sf, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
+@query("length_percentiles", "SELECT lang, quantile_cont(n_chars, 0.05) AS p05, quantile_cont(n_chars, 0.5) AS median, quantile_cont(n_chars, 0.95) AS p95 FROM documents GROUP BY lang")
+def _(spark, sf):
+    p = F.percentile("n_chars", [0.05, 0.5, 0.95])
+    return table(spark, sf, "documents").groupBy("lang").agg(p.alias("p")).select("lang", F.col("p")[0].alias("p05"), F.col("p")[1].alias("median"), F.col("p")[2].alias("p95"))
+
+
+_N50 = "c AS (SELECT lang, length(seq) AS n, count(*) AS k FROM reads GROUP BY 1, 2), r AS (SELECT lang, n, sum(n * k) OVER (PARTITION BY lang ORDER BY n DESC) AS upto, sum(n * k) OVER (PARTITION BY lang) AS total FROM c)"
+
+
+@query("n50", f"WITH {READS}, {_N50} SELECT lang, max(n)::BIGINT AS n50 FROM r WHERE upto * 2 >= total GROUP BY lang")
+def _(spark, sf):
+    return stats.n50(reads(spark, sf).select("lang", F.length("seq").cast("bigint").alias("n")), "lang", "n")
+
+
+@query("sampled_reads", f"WITH {READS} SELECT id, length(seq)::BIGINT AS n FROM reads WHERE (id * 2654435761) % 4294967296 < 429496729")
+def _(spark, sf):
+    """A tenth by a hash of the id, the same at every run."""
+    return reads(spark, sf).where((F.col("id") * 2654435761) % 4294967296 < 429496729).select("id", F.length("seq").cast("bigint").alias("n"))
+
+
+@query("first_reads", "SELECT doc_id AS id, n_chars FROM documents ORDER BY doc_id LIMIT 10000")
+def _(spark, sf):
+    """The first 10,000 by id: the limit is the feature."""
+    return table(spark, sf, "documents").orderBy("doc_id").limit(10000).select(F.col("doc_id").alias("id"), "n_chars")
+
+
+@query("props_by_day", "SELECT ts::DATE AS day, event_type, count(*) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    return table(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("k"))
+
+
+@query("all_names", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION ALL SELECT DISTINCT p_type FROM part")
+def _(spark, sf):
+    name = lambda t, c: table(spark, sf, t).select(F.col(c).alias("name"))
+    return name("nation", "n_name").union(name("region", "r_name")).distinct().union(name("part", "p_type").distinct())
+
+
+@query("reference_names", f"WITH {ALIGNMENTS}, names AS (SELECT r_regionkey AS id, r_name AS name FROM region) SELECT coalesce(name, '*') AS name, count(*) AS n FROM alignments LEFT JOIN names ON id = reference_id GROUP BY 1")
+def _(spark, sf):
+    """Alignments by the name of their reference: a header's list of names is small by its nature, and checked."""
+    names = table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    return stats.by_reference_name(aligned(spark, sf), names)
+
+
+@query("theta_join", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey AND length(a.n_name) > length(b.n_name)")
+def _(spark, sf):
+    """A join on inequalities, of a table that has a row for each nation."""
+    n = table(spark, sf, "nation")
+    a, b = n.alias("a"), F.broadcast(n).alias("b")
+    return a.join(b, (F.col("a.n_regionkey") < F.col("b.n_regionkey")) & (F.length("a.n_name") > F.length("b.n_name"))).select(F.col("a.n_nationkey").alias("a"), F.col("b.n_nationkey").alias("b"))
+
+
+@query("sliding_events", "SELECT time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(30 * i) AS start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS i) GROUP BY 1, 2")
+def _(spark, sf):
+    return table(spark, sf, "events").groupBy(F.window("ts", "1 hour", "30 minutes").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+@query("graph_totals", f"WITH {_GRAPH} SELECT count(*) AS segments, sum(length)::BIGINT AS bases, min(length) AS shortest, max(length) AS longest, avg(length) AS mean, (SELECT count(*) FROM e) AS links FROM s")
+def _(spark, sf):
+    return features.totals(*_graph(spark, sf))
+
+
+@query("read_group_counts", "SELECT 'rg' || (l_suppkey % 8) AS read_group, count(*) AS n FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    return table(spark, sf, "lineitem").groupBy(F.concat(F.lit("rg"), (F.col("l_suppkey") % 8).cast("string")).alias("read_group")).agg(F.count("*").alias("n"))
+
+
+@query("kmer_jaccard", f"WITH {READS}, {_K6}, d AS (SELECT DISTINCT lang, kmer FROM valid), n AS (SELECT lang, count(*) AS n FROM d GROUP BY 1), b AS (SELECT a.lang AS a, b.lang AS b, count(*) AS shared FROM d a JOIN d b ON a.kmer = b.kmer AND a.lang < b.lang GROUP BY 1, 2) SELECT a, b, shared::DOUBLE / (x.n + y.n - shared) AS jaccard FROM b JOIN n x ON x.lang = a JOIN n y ON y.lang = b")
+def _(spark, sf):
+    return kmers.jaccard(kmers.spectrum(reads(spark, sf), 6, ["lang"]), "lang")
+
+
+_SPANS = f"{ALIGNMENTS}, sp AS (SELECT reference_id, position, {_REF_LEN}::BIGINT AS n FROM alignments WHERE flags & 4 = 0), dp AS (SELECT reference_id, unnest(range(position, position + n)) AS p FROM sp)"
+
+
+@query("alignment_coverage", f"WITH {_SPANS} SELECT reference_id, (p // 1000)::BIGINT AS bin, count(*) AS bases, count(DISTINCT p) AS covered FROM dp GROUP BY 1, 2")
+def _(spark, sf):
+    """Depth over the reference spans of every CIGAR, by 1,000 positions."""
+    return stats.coverage_bins(aligned(spark, sf), 1000)
+
+
+@query("qc_report", f"WITH {ALIGNMENTS} SELECT count(*) AS n, count(*) FILTER (flags & 4 = 0) AS mapped, count(*) FILTER (flags & 2 <> 0) AS proper, count(*) FILTER (flags & 1024 <> 0) AS duplicates, count(*) FILTER (flags & 256 <> 0) AS secondary, count(*) FILTER (mapq >= 30) AS high_mapq, avg(mapq) AS mean_mapq, sum(nm)::BIGINT AS edits, max(abs(template_length)) AS longest_insert, sum({_REF_LEN})::BIGINT AS reference_bases FROM alignments")
+def _(spark, sf):
+    return stats.qc_report(aligned(spark, sf))
+
+
+@query("depth_shares", f"{_DEPTH} SELECT chrom, count(*) AS covered, count(*) FILTER (depth >= 3)::DOUBLE / count(*) AS share_3, count(*) FILTER (depth >= 10)::DOUBLE / count(*) AS share_10, quantile_cont(depth, 0.5) AS median FROM d GROUP BY chrom")
+def _(spark, sf):
+    return stats.depth_shares(intervals.depth(spans(spark, sf)), (3, 10))
+
+
+@query("sql_functions", f"WITH {READS} SELECT lang, count(*) AS n, round(avg(CASE WHEN {_count('A')} + {_count('C')} + {_count('G')} + {_count('T')} = 0 THEN 0.0 ELSE ({_count('G')} + {_count('C')})::DOUBLE / ({_count('A')} + {_count('C')} + {_count('G')} + {_count('T')}) END), 9) AS gc, sum(length(regexp_replace(seq, '[{S.DNA}]', '', 'g')))::BIGINT AS invalid, count(*) FILTER (length(qual) >= 30) AS long FROM reads GROUP BY lang")
+def _(spark, sf):
+    """The SQL entry: views and functions of the engine, called by name."""
+    sql.register(spark, {"reads": reads(spark, sf)})
+    return spark.sql("SELECT lang, count(*) AS n, round(avg(hf_gc_content(seq)), 9) AS gc, sum(hf_count_invalid(seq)) AS invalid, count_if(hf_meets_length(qual, 30, 1000000000)) AS long FROM reads GROUP BY lang")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -113,7 +113,8 @@ def _typed(spec: str) -> list[Column]:
 
 def read_paf(spark: SparkSession, path: str) -> DataFrame:
     spec = "query_name string, query_length bigint, query_start bigint, query_end bigint, strand string, target_name string, target_length bigint, target_start bigint, target_end bigint, num_matches bigint, alignment_length bigint, mapq int"
-    return _fields(spark, path, 12).select(*_typed(spec))
+    strand = F.when(_at(4).isin("+", "-"), _at(4)).otherwise(F.raise_error(F.lit("strand must be + or -")))
+    return _fields(spark, path, 12, comments=False).select(*[strand.alias("strand") if i == 4 else c for i, c in enumerate(_typed(spec))])
 
 
 def read_blast(spark: SparkSession, path: str) -> DataFrame:
@@ -127,8 +128,8 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``id, sequence``. Records are cut at ``>`` by the reader, which can split a file between them."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    """``id, sequence``. Records are cut at a line's first ``>`` by the reader, which can split a file between them."""
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where(F.trim("value") != "")
     head = F.substring_index("value", "\n", 1)
     body = F.regexp_replace(F.substr("value", F.length(head) + 1), r"\s", "")
     return raw.select(F.regexp_extract(head, r"^\s*(\S+)", 1).alias("id"), F.when(body != "", body).otherwise(F.raise_error(F.concat(F.lit("empty sequence: "), head))).alias("sequence"))

@@ -1,5 +1,6 @@
 """The engine's queries against DuckDB at the smallest size, and readers, writers and edge cases on literals."""
 
+import random
 import re
 
 import duckdb
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from helixframe.functions import alignment as A
 from helixframe.functions import sequence as S
-from helixframe.operators import derive, kmers, local_alignment
+from helixframe.operators import derive, intervals, kmers, local_alignment
 from helixframe.plans import catalog
 from helixframe.sources import readers, writers
 from helixframe.streaming import counters
@@ -51,7 +52,7 @@ def test_sites_depth_of_every_cigar(spark):
                 if (r.reference_id, p) in sites:
                     want[r.reference_id, p] = want.get((r.reference_id, p), 0) + 1
             at += int(n) if op in "MDN=X" else 0
-    got = {(r.reference_id, r.position): r.depth for r in catalog.queries()["sites_depth_all"](spark, SF).collect()}
+    got = {(r.reference_id, r.position): r.depth for r in catalog.queries()["sites_depth"](spark, SF).collect()}
     assert got == want
 
 
@@ -142,3 +143,46 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert plain(spark.table("windowed").collect()) == plain(counters.windowed_counts(events).collect())
+
+
+def test_subtract_keeps_intervals_of_one_id_apart(spark):
+    left = spark.createDataFrame([(1, 0, 0, 10), (1, 0, 20, 30), (1, 0, 20, 30), (2, 1, 0, 5)], "id long, chrom long, start long, end long")
+    right = spark.createDataFrame([(9, 0, 2, 4), (9, 0, 6, 7), (9, 0, 3, 4), (9, 1, 0, 9)], "id long, chrom long, start long, end long")
+    got = sorted(map(tuple, intervals.subtract(left, right).collect()))
+    assert got == [(1, 0, 0, 2), (1, 0, 4, 6), (1, 0, 7, 10), (1, 0, 20, 30)]
+
+
+def test_smith_waterman_equals_a_plain_matrix():
+    rng = random.Random(3)
+    for _ in range(200):
+        q, r = ("".join(rng.choice("ACGT") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        h = [[0] * (len(r) + 1) for _ in range(len(q) + 1)]
+        for i in range(1, len(q) + 1):
+            for j in range(1, len(r) + 1):
+                h[i][j] = max(0, h[i - 1][j - 1] + (2 if q[i - 1] == r[j - 1] else -1), h[i - 1][j] - 2, h[i][j - 1] - 2)
+        score, qs, qe, rs, re_, cigar = local_alignment.align(q, r)
+        assert score == max(map(max, h))
+        # The path that the CIGAR tells has that score.
+        i, j, total = qs, rs, 0
+        for n, op in re.findall(r"(\d+)([MID])", cigar):
+            for _ in range(int(n)):
+                total += (2 if q[i] == r[j] else -1) if op == "M" else -2
+                i, j = i + (op != "D"), j + (op != "I")
+        assert (total, i, j) == (score, qe, re_)
+
+
+def test_readers_check_what_they_read(spark, tmp_path):
+    def put(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    assert {(r.id, r.sequence) for r in readers.read_fasta(spark, put("n.fa", ">a note x>y\nAC\nGT\n>b >c\r\nTT\r\n")).collect()} == {("a", "ACGT"), ("b", "TT")}
+    for line in ("q\t10\t0\t9\t.\tt\t20\t1\t10\t9\t9\t60\n", "# note\n"):
+        with pytest.raises(Exception, match="strand|too few"):
+            readers.read_paf(spark, put("bad.paf", line)).collect()
+
+
+def test_quality_of_slices_and_nulls(spark):
+    rows = [(i, q) for i, q in enumerate(["IIII", "", None, "!5", "~", "I" * 100000])]
+    got = {r.i: r.m for r in spark.createDataFrame(rows, "i int, q string").select("i", S.mean_quality(F.col("q")).alias("m")).collect()}
+    assert got == {0: 40.0, 1: 0.0, 2: None, 3: 10.0, 4: 93.0, 5: 40.0}
