@@ -186,3 +186,12 @@ def test_quality_of_slices_and_nulls(spark):
     rows = [(i, q) for i, q in enumerate(["IIII", "", None, "!5", "~", "I" * 100000])]
     got = {r.i: r.m for r in spark.createDataFrame(rows, "i int, q string").select("i", S.mean_quality(F.col("q")).alias("m")).collect()}
     assert got == {0: 40.0, 1: 0.0, 2: None, 3: 10.0, 4: 93.0, 5: 40.0}
+
+
+def test_overlap_join_with_very_long_intervals(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randint(0, 1), s, s + rng.choice([0, 1, 3, 40, 5_000_000])) for i in range(120) for s in [rng.randint(0, 900)]]
+    df = spark.createDataFrame(rows, "id long, chrom long, start long, end long")
+    got = sorted((r.l_id, r.r_id) for r in intervals.overlap_join(df, df).collect())
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] < b[3] and b[2] < a[3])
+    assert intervals.overlap_join(df.limit(0), df).count() == 0
