@@ -16,7 +16,7 @@ from helixframe.operators.derive import ALIGNMENTS, INTERVALS, READS, table
 from helixframe.operators.derive import alignments as aligned
 from helixframe.operators.derive import intervals as spans
 from helixframe.operators.derive import reads
-from helixframe.plans import sql
+from helixframe.plans import files, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -542,8 +542,8 @@ def _(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | files.SQL

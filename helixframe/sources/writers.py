@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,13 +26,46 @@ def bed_lines(*columns: Column) -> Column:
     return _guard(F.concat_ws("\t", *fields), (F.length(columns[0]) > 0) & (columns[1] < columns[2]), "BED rows need a chromosome and start < end")
 
 
+# Features whose GTF lines need a transcript.
+OF_TRANSCRIPTS = ("transcript", "exon", "CDS", "UTR", "start_codon", "stop_codon")
+
+
 def feature_lines(df: DataFrame, gtf: bool = False) -> Column:
-    """GFF3 or GTF lines with sorted attributes of ``seqid, source, feature, start, end, score, strand, phase, attributes``."""
+    """GFF3 or GTF lines with sorted attributes of ``seqid, source, feature, start, end, score, strand, phase, attributes``.
+
+    GTF needs a ``gene_id``, and a ``transcript_id`` on the features of transcripts.
+    """
     entry = (lambda e: F.concat(e["key"], F.lit(' "'), e["value"], F.lit('";'))) if gtf else (lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     attributes = F.array_join(F.transform(F.array_sort(F.map_entries(df["attributes"])), entry), " " if gtf else ";")
     score = F.when(df["score"].isNull(), ".").otherwise(F.format_string("%.2f", df["score"]))
     line = F.concat_ws("\t", df["seqid"], df["source"], df["feature"], df["start"].cast("string"), df["end"].cast("string"), score, df["strand"], F.coalesce(df["phase"].cast("string"), F.lit(".")), attributes)
-    return _guard(line, (F.length(df["seqid"]) > 0) & (df["start"] <= df["end"]) & (F.coalesce(df["phase"], F.lit(0)) <= 2), "bad feature row")
+    named = df["attributes"]["gene_id"].isNotNull() & (~df["feature"].isin(*OF_TRANSCRIPTS) | df["attributes"]["transcript_id"].isNotNull()) if gtf else F.lit(True)
+    return _guard(line, (F.length(df["seqid"]) > 0) & (df["start"] > 0) & (df["start"] <= df["end"]) & (F.coalesce(df["phase"], F.lit(0)) <= 2) & named, "bad feature row")
+
+
+#: Header of a GFF3 file.
+GFF3_HEADER = ["##gff-version 3"]
+
+
+def vcf_header_lines(samples: list[str] = [], info: dict[str, str] = {}, form: dict[str, str] = {}, filters: dict[str, str] = {}, contigs: dict[str, int | None] = {}, other: list[str] = [], version: str = "VCFv4.2") -> list[str]:
+    """The version, definitions by kind and name, other lines and the line of columns."""
+    out = [f"##fileformat={version}"]
+    for kind, said in (("INFO", info), ("FORMAT", form), ("FILTER", filters)):
+        out += [f'##{kind}=<ID={k},Description="{v}">' for k, v in sorted(said.items())]
+    out += [f"##contig=<ID={k}>" if n is None else f"##contig=<ID={k},length={n}>" for k, n in sorted(contigs.items())]
+    columns = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *samples] if samples else [])]
+    return [*out, *(f"##{x}" for x in other), "\t".join(columns)]
+
+
+def sam_header_lines(references: list[tuple[str, int]]) -> list[str]:
+    return ["@HD\tVN:1.6\tSO:unknown", *(f"@SQ\tSN:{n}\tLN:{size}" for n, size in references)]
+
+
+def with_header(lines: DataFrame, header: list[str]) -> DataFrame:
+    """The header as a partition before those of ``lines`` (one column), so that the files one after the other are one file."""
+    spark: SparkSession = lines.sparkSession
+    head = spark.createDataFrame([(x,) for x in header], f"`{lines.columns[0]}` string").coalesce(1)
+    return head.union(lines)
 
 
 def vcf_lines(df: DataFrame) -> Column:
