@@ -50,7 +50,7 @@ def _(spark, sf):
 @query("fastq_file", f"WITH {READS} SELECT id::VARCHAR AS id, seq AS sequence, qual AS quality FROM reads")
 def _(spark, sf):
     path = stored(reads(spark, sf), writers.fastq_lines(_text("id"), F.col("seq"), F.col("qual")), "fastq")
-    return readers.read_fastq(spark, path).select("id", "sequence", "quality")
+    return readers.read_fastq(spark, path)
 
 
 @query("fasta_index", f"WITH {READS} SELECT id::VARCHAR AS name, length(seq)::BIGINT AS length, least(length(seq), 80)::INTEGER AS line_bases, (least(length(seq), 80) + 1)::INTEGER AS line_width FROM reads WHERE length(seq) > 0")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -135,20 +138,89 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_extract(head, r"^\s*(\S+)", 1).alias("id"), F.when(body != "", body).otherwise(F.raise_error(F.concat(F.lit("empty sequence: "), head))).alias("sequence"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``id, sequence, quality`` with the record's number in its file as ``nth``.
+_PIECES = "file string, block bigint, nth bigint, part string, id string, sequence string, quality string"
+_NAMES = [c.split(" ")[0] for c in _PIECES.split(", ")]
+_PIECE_TYPES = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4]
+
 
-    ``@`` may start a quality line, so a file isn't split: a whole file is a row, cut into records by position.
+def _fastq_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """Records by file, block and number in the block.
+
+    Text is cut before every line that begins with ``@``. Such a line may also be a quality: what comes before it then has three
+    lines, a ``head``, and the ``tail`` follows. The two are put together here unless a block ends between them.
     """
-    files = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1).alias("l")).where("l <> array('')")
-    whole = F.when(F.size("l") % 4 == 0, F.col("l")).otherwise(F.raise_error(F.lit("a FASTQ record is incomplete")))
-    rec = files.select(whole.alias("l")).select(F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("l") / 4 - 1).cast("int")), lambda i: F.struct(F.get("l", i * 4).alias("h"), F.get("l", i * 4 + 1).alias("s"), F.get("l", i * 4 + 2).alias("p"), F.get("l", i * 4 + 3).alias("q")))).alias("nth", "r"))
-    fine = F.col("r.h").startswith("@") & F.col("r.p").startswith("+") & (F.length("r.s") == F.length("r.q"))
-    return rec.select("nth", F.when(fine, F.rtrim(F.substr("r.h", F.lit(2)))).otherwise(F.raise_error(F.concat(F.lit("bad FASTQ record: "), F.col("r.h")))).alias("id"), F.col("r.s").alias("sequence"), F.col("r.q").alias("quality"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, nth, head = None, 0, None
+        for batch in batches:
+            out = []
+            for value, *at in zip(*(c.to_pylist() for c in batch.columns)):
+                first = at != place
+                if first:
+                    if head:
+                        out.append((*place, nth - 1, "head", *head, None))
+                    place, nth, head = at, 0, None
+                    if at[1] == 0:
+                        if not value.strip():
+                            continue
+                        if not value.startswith("@"):
+                            raise ValueError(f"a FASTQ record must begin with @: {value[:80]}")
+                        value = value[1:]
+                lines = value.split("\n")
+                if len(lines) in (2, 5) and not lines[-1]:
+                    lines.pop()  # the file's end
+                lines = [x.removesuffix("\r") for x in lines]
+                if len(lines) == 1 and (head or (first and at[1])):
+                    out.append((*place, nth - 1, "whole", *head, "@" + lines[0]) if head else (*place, -1, "tail", None, None, lines[0]))
+                    head = None
+                    continue
+                if head or len(lines) not in (3, 4) or not lines[2].startswith("+"):
+                    raise ValueError(f"a FASTQ record is incomplete: {(head or lines)[0][:80]}")
+                if len(lines) == 4:
+                    out.append((*place, nth, "whole", lines[0].rstrip(), lines[1], lines[3]))
+                else:
+                    head = (lines[0].rstrip(), lines[1])
+                nth += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PIECE_TYPES)], _NAMES)
+        if head:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*place, nth - 1, "head", *head, None), _PIECE_TYPES)], _NAMES)
+
+    raw = spark.read.option("lineSep", "\n@").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return raw.mapInArrow(run, _PIECES)
+
+
+def _fastq_records(spark: SparkSession, path: str) -> DataFrame:
+    """All records with ``file, block, nth``. What a border of blocks cuts, two rows of a block at most, is put together by file."""
+    pieces = _fastq_pieces(spark, path)
+    in_file = Window.partitionBy("file").orderBy("block", "nth")
+    cut = pieces.where("part <> 'whole'").select("*", F.lag("part").over(in_file).alias("before"), F.lead("part").over(in_file).alias("after"), F.lead("quality").over(in_file).alias("rest"))
+    wrong = F.raise_error(F.lit("a FASTQ record is incomplete"))
+    heads = cut.where(F.when(F.col("part") == "head", True).when(F.col("before") == "head", False).otherwise(wrong.cast("boolean")))
+    # A file can end with the quality "@", of which the cut leaves nothing.
+    rest = F.when(F.col("after") == "tail", F.col("rest")).when(F.col("after").isNull(), "").otherwise(wrong)
+    whole = pieces.where("part = 'whole'").drop("part").unionByName(heads.withColumn("quality", F.concat(F.lit("@"), rest)).select(*[c for c in _NAMES if c != "part"]))
+    fine = F.length("sequence") == F.length("quality")
+    return whole.withColumn("id", F.when(fine, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("bad FASTQ record: "), F.col("id")))))
+
+
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """``id, sequence, quality``. A file that isn't compressed is read by many tasks; it is scanned twice, for records and for cut ones."""
+    return _fastq_records(spark, path).select("id", "sequence", "quality")
+
+
+def numbered_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """The same with ``nth``, the record's number from 0 over all files in the order of their paths."""
+    records = _fastq_records(spark, path)
+    blocks = records.groupBy("file", "block").agg(F.count("*").alias("n"))
+    files = blocks.groupBy("file").agg(F.sum("n").alias("total")).select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("earlier"))
+    upto = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    starts = blocks.withColumn("upto", upto).join(files, "file").select("file", "block", (F.col("upto") + F.col("earlier")).alias("start"))
+    return records.join(starts, ["file", "block"]).select((F.col("start") + F.col("nth")).alias("nth"), "id", "sequence", "quality")
 
 
 def pair_fastq(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Mates by position; a record without a mate is an error."""
+    """Mates by position (``nth``); a record without a mate is an error."""
     joined = first.alias("a").join(second.alias("b"), "nth", "full_outer")
     checked = F.when(F.col("a.id").isNotNull() & F.col("b.id").isNotNull(), F.col("a.id")).otherwise(F.raise_error(F.lit("the files have different numbers of records")))
     return joined.select("nth", checked.alias("id1"), F.col("b.id").alias("id2"), F.col("a.sequence").alias("sequence1"), F.col("b.sequence").alias("sequence2"), F.col("a.quality").alias("quality1"), F.col("b.quality").alias("quality2"))

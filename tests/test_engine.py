@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from helixframe.functions import alignment as A
+from helixframe.functions import records as R
 from helixframe.functions import sequence as S
 from helixframe.operators import derive, intervals, kmers, local_alignment
 from helixframe.plans import catalog
@@ -125,7 +126,7 @@ def test_readers(spark, tmp_path):
     gfa = readers.read_gfa(spark, put("a.gfa", "H\tVN:Z:1.0\nS\ts1\tACGT\tKC:i:5\nS\ts2\t*\tLN:i:9\nL\ts1\t+\ts2\t-\t0M\nP\tp\ts1+,s2-\t*\n"))
     assert {r.name: r.length for r in gfa["segments"].collect()} == {"s1": 4, "s2": 9} and gfa["links"].count() == 1 and gfa["paths"].first().steps == ["s1+", "s2-"]
     assert {(r.id, r.sequence) for r in readers.read_fasta(spark, put("a.fa", ">a desc\nAC\nGT\n>b\nTT\n")).collect()} == {("a", "ACGT"), ("b", "TT")}
-    fq = readers.read_fastq(spark, put("a.fq", "@r1 x\nACG\n+\n@II\n@r2\nA\n+\nI\n"))
+    fq = readers.numbered_fastq(spark, put("a.fq", "@r1 x\nACG\n+\n@II\n@r2\nA\n+\nI\n"))
     assert [(r.nth, r.id, r.quality) for r in fq.orderBy("nth").collect()] == [(0, "r1 x", "@II"), (1, "r2", "I")]
     assert readers.pair_fastq(fq, fq).count() == 2
     sam = readers.read_sam(spark, put("a.sam", "@SQ\tSN:chr1\tLN:100\nr\t99\tchr1\t8\t255\t4M\t=\t20\t5\tACGT\tIIII\tNM:i:2\n")).first()
@@ -135,6 +136,59 @@ def test_readers(spark, tmp_path):
         readers.read_bed(spark, put("b.bed", "chr1\t9\t5\n")).collect()
 
 
+@pytest.mark.parametrize("text", ["@a\nACG\n+\n@@I\n@b x\nA\n+\n@\n@c\n\n+\n\n@@d\nAC\n+d\n+@\n@e\nACGT\n+\n@III\n@f\nA\n+\n@\n", "@a\r\nAC\r\n+\r\n@I\r\n@b\r\nA\r\n+\r\n@", "@a\nA\n+\nI", "\n", ""])
+def test_fastq_cut_anywhere(spark, tmp_path, text):
+    path = tmp_path / "a.fq"
+    path.write_bytes(text.encode())
+    lines = text.replace("\r", "").split("\n") if text.strip() else []
+    want = [(i // 4, lines[i][1:], lines[i + 1], lines[i + 3]) for i in range(0, len(lines) - 3, 4)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (4, 7, 19, 1000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            assert sorted(map(tuple, readers.numbered_fastq(spark, str(path)).collect())) == want, size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("text", ["a\nA\n+\nI\n", "@a\nA\n+\n", "@a\nA\nI\n", "@a\nAC\n+\nI\n", "@a\nA\n+\nI\nx\n@b\nA\n+\nI\n"])
+def test_fastq_errors(spark, tmp_path, text):
+    (tmp_path / "a.fq").write_text(text)
+    with pytest.raises(Exception):
+        readers.read_fastq(spark, str(tmp_path / "a.fq")).collect()
+
+
+def test_mates_over_files(spark, tmp_path):
+    record = lambda i, m: f"@r{i}/{m}\nACG\n+\n{'@' if i % 3 == 0 else 'I'}II\n"
+    for m, cut in ((1, 40), (2, 70)):
+        (tmp_path / str(m)).mkdir()
+        for name, span in (("a.fq", range(cut)), ("b.fq", range(cut, 100))):
+            (tmp_path / str(m) / name).write_text("".join(record(i, m) for i in span))
+    both = readers.pair_fastq(*(readers.numbered_fastq(spark, str(tmp_path / m)) for m in "12")).orderBy("nth").collect()
+    assert [(r.nth, r.id1, r.id2) for r in both] == [(i, f"r{i}/1", f"r{i}/2") for i in range(100)]
+
+
+def test_record_values(spark):
+    tags = "map('NM', 'i:3', 'RG', 'Z:g:1', 'XB', 'B:s,1,-2', 'KC', 'i:7')"
+    of = lambda c: spark.sql(f"SELECT {tags} AS t").select(c).first()[0]
+    t = F.col("t")
+    assert of(R.alignment_tag(t, "edit_distance")) == 3 and of(R.alignment_tag(t, "read_group")) == "g:1" and of(R.alignment_tag(t, "alignment_score")) is None
+    assert of(R.tag(t, "RG", "bigint")) is None and of(R.tag_numbers(t, "XB")) == [1.0, -2.0] and of(R.tag_numbers(t, "NM")) is None and of(R.segment_coverage(t)) == 7.0
+    value = lambda s, k: of(R.sample_value(F.lit("GT:DP:GQ"), F.lit(s), k))
+    assert [value("0/1:.:9", "GT"), value("0/1:.:9", "DP"), value("0/1", "GQ"), value("0/1:2:9", "XX")] == ["0/1", None, None, None]
+
+
+def test_written_rules(spark):
+    row = lambda feature, start, attributes: spark.sql(f"SELECT 'c' AS seqid, 's' AS source, '{feature}' AS feature, {start}L AS start, 9L AS end, 1.5D AS score, '+' AS strand, CAST(NULL AS INT) AS phase, {attributes} AS attributes")
+    line = lambda df: df.select(writers.feature_lines(df, gtf=True)).first()[0]
+    assert line(row("gene", 1, "map('gene_id', 'g')")) == 'c\ts\tgene\t1\t9\t1.50\t+\t.\tgene_id "g";'
+    for bad in (row("exon", 1, "map('gene_id', 'g')"), row("gene", 1, "map('transcript_id', 't')"), row("gene", 0, "map('gene_id', 'g')")):
+        with pytest.raises(Exception, match="bad feature row"):
+            line(bad)
+    assert writers.vcf_header_lines(["s"], {"DP": "Depth"}, contigs={"c": 5, "d": None}, other=["x=y"]) == ["##fileformat=VCFv4.2", '##INFO=<ID=DP,Description="Depth">', "##contig=<ID=c,length=5>", "##contig=<ID=d>", "##x=y", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts"]
+    assert writers.sam_header_lines([("c", 5)]) == ["@HD\tVN:1.6\tSO:unknown", "@SQ\tSN:c\tLN:5"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
