@@ -1,4 +1,4 @@
-"""Sources and sinks as queries: each writes a view of whole tables as files, reads them again and describes the records."""
+"""Sources, sinks and streams as queries: each writes a view of whole tables as files, reads them again and describes the records."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from helixframe.functions import alignment as A
 from helixframe.functions import records as R
 from helixframe.operators.derive import ALIGNMENTS, INTERVALS, READS, alignments, intervals, reads, table
 from helixframe.sources import bam, fai, genbank, readers, scratch, writers
+from helixframe.streaming import counters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -263,3 +264,23 @@ def _(spark, sf):
     found = genbank.read_genbank(spark, stored(table(spark, sf, "part"), text, "genbank"))
     one = F.col("features")[0]
     return found.select("locus", "length", "definition", "accession", "organism", one["key"].alias("key"), one["location"].alias("location"), one["qualifiers"][0]["v"].alias("gene"), "sequence")
+
+
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of events as a stream of its files; as a pattern, since a stream's path can't be one file."""
+    return spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/event[s].parquet")
+
+
+@query("stream_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
+def _(spark, sf):
+    """Keys seen in a stream, each once: the events come in one batch here, so none is late."""
+    seen = counters.first_seen(_stream(spark, sf), ["user_id", "event_type"], "400 days").select("user_id", "event_type")
+    return counters.drained(seen, scratch.new_path(spark, "seen"))
+
+
+@query("stream_totals", "SELECT user_id, count(*) AS n, round(sum(value), 6) AS total, max(value) AS greatest FROM events GROUP BY 1")
+def _(spark, sf):
+    """Running totals by user, the last of each being its greatest count."""
+    rows = counters.drained(counters.running_totals(_stream(spark, sf), "user_id", "value", "400 days"), scratch.new_path(spark, "totals"))
+    last = rows.groupBy("key").agg(F.max_by(F.struct("n", "total", "greatest"), "n").alias("v"))
+    return last.select(F.col("key").alias("user_id"), "v.n", F.round("v.total", 6).alias("total"), "v.greatest")

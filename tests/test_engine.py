@@ -189,6 +189,31 @@ def test_written_rules(spark):
     assert writers.sam_header_lines([("c", 5)]) == ["@HD\tVN:1.6\tSO:unknown", "@SQ\tSN:c\tLN:5"]
 
 
+def test_stream_state_over_batches(spark, tmp_path):
+    rows = [[(0, 1, 2.0), (10, 1, 5.0), (20, 2, 1.0)], [(30, 1, 1.0), (40, 3, 4.0)], [(9000, 4, 1.0)], [(50, 5, 1.0), (9001, 4, 3.0), (9002, 1, 7.0)], [(9003, 4, 0.5)]]
+    for i, part in enumerate(rows):
+        made = spark.createDataFrame(part, "s long, user_id long, value double").select(F.timestamp_seconds(F.col("s") + 1_000_000).alias("ts"), "user_id", "value")
+        made.coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+    schema = made.schema
+
+    def run(build, name):
+        """One batch for each folder, in order: a file of each is added after the one before has been read."""
+        (tmp_path / name).mkdir()
+        for i in range(len(rows)):
+            source = next((tmp_path / f"b{i}").glob("*.parquet"))
+            (tmp_path / name / f"{i}.parquet").write_bytes(source.read_bytes())
+            out = counters.drained(build(spark.readStream.schema(schema).parquet(str(tmp_path / name))), str(tmp_path / f"{name}-out"))
+        return out
+
+    totals = run(lambda s: counters.running_totals(s, "user_id", "value", "60 seconds"), "totals")
+    got = sorted(map(tuple, totals.collect()))
+    # User 1 was idle past the watermark before its last event, so its state began anew; the late event of user 5 is dropped.
+    assert got == [(1, 1, 7.0, 7.0), (1, 2, 7.0, 5.0), (1, 3, 8.0, 5.0), (2, 1, 1.0, 1.0), (3, 1, 4.0, 4.0), (4, 1, 1.0, 1.0), (4, 2, 4.0, 3.0), (4, 3, 4.5, 3.0)]
+    seen = run(lambda s: counters.first_seen(s, ["user_id"], "60 seconds").select("user_id"), "seen")
+    # Likewise user 1 is new again.
+    assert sorted(r.user_id for r in seen.collect()) == [1, 1, 2, 3, 4]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
