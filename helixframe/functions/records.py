@@ -56,6 +56,11 @@ def aligned_share(start: Column, end: Column, length: Column) -> Column:
     return fraction(end - start, length)
 
 
+def aligned_length(start: Column, end: Column) -> Column:
+    """Positions of a query or target that a match covers, its end left out."""
+    return end - start
+
+
 def is_good_match(identity: Column, evalue: Column, least_identity: float, most_evalue: float) -> Column:
     """A tabular match of at least this percent identity and at most this e-value."""
     return (identity >= least_identity) & (evalue <= most_evalue)

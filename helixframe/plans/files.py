@@ -183,6 +183,11 @@ def _(spark, sf):
     return _graph_files(spark, sf)["segments"].select("name", "length", R.segment_coverage(F.col("tags")).alias("coverage"))
 
 
+@query("gfa_headers_file", "SELECT '1.0' AS version")
+def _(spark, sf):
+    return _graph_files(spark, sf)["headers"].select(R.tag(F.col("tags"), "VN").alias("version"))
+
+
 @query("gfa_links_file", "SELECT 's' || l_partkey AS from_segment, CASE WHEN l_linenumber % 2 = 0 THEN '+' ELSE '-' END AS from_orient, 's' || (l_partkey + l_suppkey) AS to_segment, CASE WHEN l_suppkey % 3 = 0 THEN '+' ELSE '-' END AS to_orient, l_linenumber || 'M' AS overlap, l_linenumber::BIGINT AS nm FROM lineitem")
 def _(spark, sf):
     return _graph_files(spark, sf)["links"].select("from_segment", "from_orient", "to_segment", "to_orient", "overlap", R.tag(F.col("tags"), "NM", "bigint").alias("nm"))
@@ -198,13 +203,14 @@ _MATCHES = """SELECT 'q' || l_orderkey AS query_name, 1000::BIGINT AS query_leng
   l_linenumber::BIGINT AS target_start, (l_linenumber + l_quantity)::BIGINT AS target_end, (l_quantity - 1)::BIGINT AS num_matches, l_quantity::BIGINT AS alignment_length, (CASE WHEN l_linenumber = 7 THEN 255 ELSE l_quantity END)::INTEGER AS mapq FROM """
 
 
-@query("paf_file", f"WITH m AS ({_MATCHES} lineitem) SELECT *, num_matches / alignment_length::DOUBLE AS identity, (query_end - query_start) / query_length::DOUBLE AS query_coverage, CASE WHEN target_length = 0 THEN 0.0 ELSE (target_end - target_start) / target_length::DOUBLE END AS target_coverage, mapq >= 30 AND mapq < 255 AS good, strand = '+' AS forward FROM m")
+@query("paf_file", f"WITH m AS ({_MATCHES} lineitem) SELECT *, num_matches / alignment_length::DOUBLE AS identity, (query_end - query_start) / query_length::DOUBLE AS query_coverage, CASE WHEN target_length = 0 THEN 0.0 ELSE (target_end - target_start) / target_length::DOUBLE END AS target_coverage, mapq >= 30 AND mapq < 255 AS good, strand = '+' AS forward, query_end - query_start AS query_bases, target_end - target_start AS target_bases FROM m")
 def _(spark, sf):
     df = _made(table(spark, sf, "lineitem"), _MATCHES + "{t}")
     c = F.col
     return readers.read_paf(spark, stored(df, writers.paf_lines(df), "paf")).select(
         "*", A.fraction(c("num_matches"), c("alignment_length")).alias("identity"), R.aligned_share(c("query_start"), c("query_end"), c("query_length")).alias("query_coverage"),
         R.aligned_share(c("target_start"), c("target_end"), c("target_length")).alias("target_coverage"), A.is_high_quality(c("mapq"), 30).alias("good"), (c("strand") == "+").alias("forward"),
+        R.aligned_length(c("query_start"), c("query_end")).alias("query_bases"), R.aligned_length(c("target_start"), c("target_end")).alias("target_bases"),
     )
 
 

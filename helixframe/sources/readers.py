@@ -99,11 +99,12 @@ def _tags(first: int) -> Column:
 
 
 def read_gfa(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """``segments``, ``links``, ``paths`` of an assembly graph: filtered views of one scan."""
+    """``headers``, ``segments``, ``links``, ``paths`` of an assembly graph: filtered views of one scan."""
     c = _fields(spark, path, 1, comments=False)
     kind = F.col("c")[0]
     length = F.when(F.col("c")[2] == "*", F.regexp_extract(F.array_join(F.filter("c", lambda x: x.startswith("LN:i:")), ""), r"(\d+)$", 1).try_cast("bigint")).otherwise(F.length(F.col("c")[2]))
     return {
+        "headers": c.where(kind == "H").select(_tags(1).alias("tags")),
         "segments": c.where(kind == "S").select(_at(1).alias("name"), _at(2).alias("sequence"), length.cast("bigint").alias("length"), _tags(3).alias("tags")),
         "links": c.where(kind == "L").select(_at(1).alias("from_segment"), _at(2).alias("from_orient"), _at(3).alias("to_segment"), _at(4).alias("to_orient"), _at(5).alias("overlap"), _tags(6).alias("tags")),
         "paths": c.where(kind == "P").select(_at(1).alias("name"), F.split(F.col("c")[2], ",").alias("steps"), F.split(F.col("c")[3], ",").alias("overlaps")),
