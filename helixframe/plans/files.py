@@ -259,6 +259,31 @@ def _(spark, sf):
     return _of_records(bam.block_records(bam.bam_blocks(_records(spark, sf), REFERENCES), REFERENCES))
 
 
+def _bam_files(spark: SparkSession, sf: str) -> str:
+    path = scratch.new_path(spark, "bam")
+    bam.write_bam_files(_records(spark, sf), REFERENCES, path)
+    return path
+
+
+@query("bam_file", _RECORDS_SQL)
+def _(spark, sf):
+    return _of_records(bam.read_bam(spark, _bam_files(spark, sf)))
+
+
+@query("bam_references_file", "SELECT 'chr' || i AS name, 2000000000::BIGINT AS length FROM range(4) t(i)")
+def _(spark, sf):
+    """The references of all files, which have the same."""
+    return bam.bam_references(spark, _bam_files(spark, sf)).distinct()
+
+
+_REGION = ("chr1", 20_000, 60_000)
+
+
+@query("bam_region", f"SELECT * FROM ({_RECORDS_SQL}) WHERE reference = '{_REGION[0]}' AND position < {_REGION[2]} AND position + list_sum([x::BIGINT FOR x IN regexp_extract_all(cigar, '(\\d+)[MDN=X]', 1)]) > {_REGION[1]}")
+def _(spark, sf):
+    return _of_records(bam.read_bam(spark, _bam_files(spark, sf), _REGION))
+
+
 @query("genbank_file", "SELECT 'L' || p_partkey AS locus, p_size::BIGINT AS length, 'Part ' || p_partkey || ' of ' || p_brand || '.' AS definition, 'AC' || p_partkey AS accession, p_type AS organism, 'gene' AS key, '1..' || p_size AS location, 'g' || p_partkey AS gene, repeat('acgt', p_size) AS sequence FROM part")
 def _(spark, sf):
     number = _text("p_partkey")

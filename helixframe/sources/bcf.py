@@ -5,14 +5,13 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.sources.bgzf import BlockReader
+from helixframe.sources import splits
 
 SCHEMA = "chrom string, pos bigint, id string, ref string, alt array<string>, qual double, filter string, info map<string,string>, format string, samples array<string>"
 _WORDS = pa.list_(pa.string())
@@ -100,31 +99,57 @@ def read_record(shared: bytes, own: bytes, words: dict[int, str], contigs: dict[
     return contigs[chrom], pos + 1, None if name == "." else name, alleles[0], alt, quality, ";".join(filters) or None, list(info.items()), ":".join(keys) or None, [":".join(c) for c in cells]
 
 
-def records(content: bytes) -> Iterator[tuple]:
-    """All records of a file; a file that is cut off is an error."""
-    source = BlockReader(content)
-    if source.read(5)[:4] != b"BCF\x02":
+def _header_size(data: bytes) -> int | None:
+    if len(data) >= 4 and data[:4] != b"BCF\x02":
         raise ValueError("not a BCF file")
-    words, contigs = dictionaries(source.read(struct.unpack("<I", source.read(4))[0]).rstrip(b"\0").decode())
-    while head := source.read(8):
-        sizes = struct.unpack("<II", head) if len(head) == 8 else (0, 0)
-        shared, own = source.read(sizes[0]), source.read(sizes[1])
-        if len(shared) < max(24, sizes[0]) or len(own) < sizes[1]:
-            raise ValueError("a record is cut off")
-        yield read_record(shared, own, words, contigs)
+    text = splits.number(data, 5)
+    return 9 + text if text is not None and 9 + text <= len(data) else None
+
+
+def _record_size(data: bytes, at: int) -> int | None:
+    if at + 8 > len(data):
+        return None
+    shared, own = struct.unpack_from("<II", data, at)
+    if shared < 24:
+        raise ValueError("a record is cut off")
+    return 8 + shared + own
+
+
+def _fits(data: bytes, at: int) -> bool | None:
+    """Whether a record can begin here: its numbers are in range, and its name and first allele are texts that fit."""
+    if at + 33 > len(data):
+        return None
+    shared, own, chrom, pos, span, _, _, n_allele, packed = struct.unpack_from("<IIiii4sHHI", data, at)
+    if not 24 < shared < 1 << 28 or own >= 1 << 30 or chrom < 0 or pos < -1 or span < 0 or (packed >> 24 == 0) != (own == 0):
+        return False
+    typed = Typed(data)
+    typed.at = at + 32
+    try:
+        for _ in range(1 + min(n_allele, 1)):
+            kind, n = typed.form()
+            if kind != 7 or typed.at + n > at + 8 + shared:
+                return False
+            if not all(32 < c < 127 for c in data[typed.at : typed.at + n]):
+                return False
+            typed.at += n
+    except IndexError:
+        return None  # the name goes on after what is held
+    except ValueError:
+        return False
+    return True
+
+
+def _parse(record: bytes, known: tuple[dict[int, str], dict[int, str]]) -> tuple:
+    end = 8 + struct.unpack_from("<I", record)[0]
+    return read_record(record[8:end], record[end:], *known)
+
+
+RULE = splits.Rule(_header_size, _record_size, _fits, lambda header: header[9:].rstrip(b"\0"), lambda text: dictionaries(text.decode()))
 
 
 def read_bcf(spark: SparkSession, path: str) -> DataFrame:
-    """Variant records with the columns of ``read_vcf``; a file, of 2 GB at most, is read by one task, block by block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                found = records(content.as_py())
-                while part := list(islice(found, 5000)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), _TYPES)], _NAMES)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
+    """Variant records with the columns of ``read_vcf``; files are read by many tasks, and one that is cut off is an error."""
+    return splits.read_records(spark, path, RULE, _parse, SCHEMA, _NAMES, _TYPES)
 
 
 def vcf_header(spark: SparkSession, path: str) -> DataFrame:

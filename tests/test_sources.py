@@ -5,7 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.sources import bam, bcf, fai, genbank, readers, writers
+from helixframe.sources import bam, bcf, fai, genbank, readers, splits, writers
 from helixframe.sources.bgzf import BlockReader, deflate_block
 
 REFS = [("chr1", 200_000), ("chr2", 5000)]
@@ -73,6 +73,84 @@ def test_bam_round_trip(spark, sam, bam_file):
     assert sorted(map(tuple, bam.bam_references(spark, bam_file).collect())) == REFS
 
 
+@pytest.fixture(params=[700, 30_000, 90_000])
+def border(spark, request):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(request.param))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield request.param
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def _plain(df):
+    return sorted(str(r.asDict() | {"tags": sorted(r.tags.items())}) for r in df.collect())
+
+
+def test_bam_is_split(spark, sam, bam_file, border):
+    """Borders of splits anywhere; the writer's blocks end inside records."""
+    want = _plain(sam)
+    assert splits.raw_blocks(spark, bam_file).rdd.getNumPartitions() > (border < 90_000)
+    assert _plain(bam.read_bam(spark, bam_file)) == want
+
+
+def test_bam_files(spark, sam, tmp_path):
+    """A file for each partition, with blocks that end a file between its own; headers that take several scans."""
+    path = str(tmp_path / "files")
+    bam.write_bam_files(sam.repartition(3), REFS, path)
+    bam.write_bam_files(sam.limit(5).coalesce(1), [*REFS, ("other", 9)], path + "2")
+    files = [f for f in (tmp_path / "files").iterdir() if f.name.startswith("part-")]
+    assert len(files) == 3 and all(f.read_bytes().endswith(deflate_block(b"")) for f in files)
+    assert _plain(bam.read_bam(spark, path)) == _plain(sam)
+    assert sorted(map(tuple, bam.bam_references(spark, path).distinct().collect())) == REFS
+    held, splits.HEADERS = splits.HEADERS, 1
+    try:
+        both = bam.read_bam(spark, str(tmp_path / "files*"))
+        assert _plain(both) == _plain(sam.unionAll(sam.limit(5)))
+    finally:
+        splits.HEADERS = held
+
+
+def _cut(blocks, borders, rule):
+    """Header and records of a file whose splits begin with the blocks of these numbers."""
+    at = [0, *borders, len(blocks)]
+    walked, whole = [], []
+    for begin, end in zip(at, at[1:]):
+        split = splits.Split(blocks[begin:end], rule, begin == 0)
+        whole += [bytes(held[a:b]) for held, a, b in split.records()]
+        walked.append((split.begun, split.head, split.tail))
+    header, cut = splits.close(walked, rule)
+    return header, sorted(whole + cut)
+
+
+@pytest.mark.parametrize("size", [33, 150, 1000])
+def test_borders_at_every_block(size):
+    """Blocks smaller than headers and records, a record over many blocks, tags that look like records; any border, every border."""
+    row = {"name": "r", "flags": 0, "reference": "chr1", "position": 5, "mapq": 60, "cigar": "8M", "mate_reference": None, "mate_position": None, "template_length": 0, "sequence": "ACGTACGT", "quality": None, "tags": {"NM": "i:0"}}
+    inner = bam.write_record(row, {"chr1": 0})
+    hidden = {"XB": "B:C," + ",".join(map(str, inner * 2)), "XZ": "Z:" + "after" * 20}
+    rows = [row | {"name": f"r{i}", "sequence": "ACGTACGT" * n, "cigar": f"{8 * n}M", "tags": hidden if i % 7 == 3 else {"NM": f"i:{i}"}} for i, n in enumerate([1, 2, 300, 1, 1, 40, 3, 5] * 4)]
+    records = [bam.write_record(r, {"chr1": 0}) for r in rows]
+    head = b"BAM\x01" + struct.pack("<i", 300) + b"x" * 300 + struct.pack("<ii", 1, 5) + b"chr1\0" + struct.pack("<i", 99)
+    data = head + b"".join(records)
+    blocks = [data[i : i + size] for i in range(0, len(data), size)]
+    for border in range(1, len(blocks)):
+        assert _cut(blocks, [border], bam.RULE) == (head, sorted(records))
+    for step in (len(blocks) // 3, len(blocks) // 7):
+        assert _cut(blocks, range(step, len(blocks), step), bam.RULE) == (head, sorted(records))
+    # What can't be told from records at all is refused, not read wrongly.
+    last = bam.write_record(row | {"tags": {"XB": hidden["XB"]}}, {"chr1": 0})
+    like = [(head + last * 5)[i : i + size] for i in range(0, len(head + last * 5), size)]
+    for border in range(1, len(like)):
+        try:
+            assert _cut(like, [border], bam.RULE) == (head, [last] * 5)
+        except ValueError as refused:
+            assert "maxPartitionBytes" in str(refused)
+    with pytest.raises(ValueError):
+        _cut(blocks[:-1], [len(blocks) // 2], bam.RULE)
+    with pytest.raises(ValueError):
+        _cut(blocks[: len(blocks) // 2] + blocks[len(blocks) // 2 + 1 :], [len(blocks) // 2], bam.RULE)
+
+
 def test_bam_long_cigar():
     row = {"name": "n", "flags": 0, "reference": "chr1", "position": 0, "mapq": 3, "cigar": "1M1I" * 35_000, "mate_reference": None, "mate_position": None, "template_length": 0, "sequence": "A" * 70_000, "quality": None, "tags": {}}
     got = bam.read_record(bam.write_record(row, {"chr1": 0})[4:], ["chr1"])
@@ -215,6 +293,13 @@ def test_bcf_equals_vcf(spark, tmp_path):
     got, want = bcf.read_bcf(spark, str(tmp_path / "a.bcf")), readers.read_vcf(spark, str(tmp_path / "a.vcf"))
     assert got.columns == want.columns
     assert [r.asDict() for r in got.orderBy("pos").collect()] == [r.asDict() for r in want.orderBy("pos").collect()]
+    data = head + body * 9
+    for size in (5, 33, 200):
+        blocks = [data[i : i + size] for i in range(0, len(data), size)]
+        want = sorted([body[: len(shared[0] + own[0]) + 8], body[len(shared[0] + own[0]) + 8 :]] * 9)
+        for border in range(1, len(blocks)):
+            assert _cut(blocks, [border], bcf.RULE) == (head, want)
+        assert _cut(blocks, range(1, len(blocks)), bcf.RULE) == (head, want)
     (tmp_path / "b.bcf").write_bytes(deflate_block(head + body[:-1]) + deflate_block(b""))
     with pytest.raises(Exception):
         bcf.read_bcf(spark, str(tmp_path / "b.bcf")).collect()
