@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from helixframe.functions.sequence import let
+
 # Flag bits of alignment records.
 FLAGS = {"paired": 0x1, "proper_pair": 0x2, "unmapped": 0x4, "mate_unmapped": 0x8, "reverse": 0x10, "mate_reverse": 0x20, "first": 0x40, "second": 0x80, "secondary": 0x100, "qc_fail": 0x200, "duplicate": 0x400, "supplementary": 0x800}
 REFERENCE_OPS, QUERY_OPS = ("M", "D", "N", "=", "X"), ("M", "I", "S", "=", "X")
@@ -84,6 +86,32 @@ def blast_coverage(start: Column, end: Column) -> Column:
     return F.greatest(end - start, F.lit(0)) + 1
 
 
+def mismatches(read: Column, reference: Column) -> Column:
+    """Array of (position, base, expected) where a read differs from the reference, as far as both go; letters count as they are."""
+    pairs = F.arrays_zip(F.split(read, "").alias("base"), F.split(reference, "").alias("expected"))
+    placed = F.transform(pairs, lambda x, i: F.struct(i.alias("position"), x["base"].alias("base"), x["expected"].alias("expected")))
+    both = F.slice(placed, F.lit(1), F.least(F.length(read), F.length(reference)))
+    return F.filter(both, lambda x: x["base"] != x["expected"])
+
+
+def apply_substitutions(reference: Column, substitutions: Column) -> Column:
+    """The reference with other bases at the positions of (position, base), one for a position; beyond its end nothing changes.
+
+    What lies between two substitutions is cut out once.
+    """
+
+    def restored(v: Column) -> Column:
+        after = lambda i: F.when(i < 0, F.lit(-1)).otherwise(F.get(v["subs"], i)["position"]) + 2
+        between = lambda x, i: F.array_join(F.slice(v["letters"], after(i - 1), x["position"] + 1 - after(i - 1)), "")
+        pieces = F.transform(v["subs"], lambda x, i: F.concat(between(x, i), x["base"]))
+        tail = F.array_join(F.slice(v["letters"], after(F.size(v["subs"]) - 1), F.size(v["letters"])), "")
+        return F.concat(F.array_join(pieces, ""), tail)
+
+    placed = F.array_sort(F.transform(substitutions, lambda x: F.struct(x["position"].cast("int").alias("position"), x["base"].alias("base"))))
+    inside = let(F.struct(F.length(reference).alias("n"), placed.alias("subs")), lambda v: F.filter(v["subs"], lambda x: (x["position"] >= 0) & (x["position"] < v["n"])))
+    return let(F.struct(F.split(reference, "").alias("letters"), inside.alias("subs")), restored)
+
+
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Half-open intervals of one chromosome."""
     return (a_start < b_end) & (b_start < a_end)

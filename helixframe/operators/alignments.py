@@ -126,6 +126,13 @@ def coverage_bins(df: DataFrame, width: int) -> DataFrame:
     return depth.groupBy(F.col("chrom").alias("reference_id"), F.floor(F.col("position") / width).alias("bin")).agg(F.sum("depth").alias("bases"), F.count("*").alias("covered"))
 
 
+def coverage_of_starts(df: DataFrame, reference_id: int, start: int, end: int) -> DataFrame:
+    """``position, depth`` in [start, end) of the reads that start there: a read that reaches in from the left doesn't count."""
+    spans = with_end(region_starts(df, reference_id, start, end))
+    clipped = spans.select(F.col("reference_id").alias("chrom"), F.col("position").cast("bigint").alias("start"), F.least(F.col("end"), F.lit(end)).cast("bigint").alias("end"))
+    return intervals.depth(clipped.where(F.col("start") < F.col("end"))).select("position", "depth")
+
+
 def qc_report(df: DataFrame) -> DataFrame:
     """One row of a run's quality figures in one pass."""
     f, flag = F.col("flags"), lambda n: _count(A.has(F.col("flags"), n)).alias({"proper_pair": "proper", "duplicate": "duplicates"}.get(n, n))

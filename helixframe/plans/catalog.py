@@ -274,6 +274,26 @@ def _(spark, sf):
     return stats.alignment_lengths(aligned(spark, sf))
 
 
+@query("coverage_of_starts", f"WITH {ALIGNMENTS}, p AS (SELECT unnest(range(position, least(position + {_REF_LEN}::BIGINT, 40000))) AS position FROM alignments WHERE reference_id = 2 AND position >= 2000 AND position < 40000) SELECT position, count(*) AS depth FROM p GROUP BY 1")
+def _(spark, sf):
+    return stats.coverage_of_starts(aligned(spark, sf), 2, 2000, 40000)
+
+
+@query("high_mapq", f"WITH {ALIGNMENTS} SELECT l_orderkey, l_linenumber, mapq FROM alignments WHERE mapq >= 30 AND mapq < 255")
+def _(spark, sf):
+    return aligned(spark, sf).where(A.is_high_quality(F.col("mapq"), 30)).select("l_orderkey", "l_linenumber", "mapq")
+
+
+@query("read_mismatches", f"""WITH {READS}, r AS (SELECT id, seq, reverse(translate(seq, 'ACGT', 'TGCA')) AS other FROM reads), m AS (SELECT id, seq, list_filter(range(length(seq)), lambda i: substr(seq, i + 1, 1) <> substr(other, i + 1, 1)) AS places FROM r)
+  SELECT id, len(places)::BIGINT AS n, places[1]::BIGINT AS first, places[-1]::BIGINT AS last, seq AS restored FROM m""")
+def _(spark, sf):
+    """Each read against its reverse complement, which the differences turn into the read again."""
+    df = reads(spark, sf).select("id", "seq", S.reverse_complement(F.col("seq")).alias("other"))
+    df = df.select("id", "other", A.mismatches(F.col("seq"), F.col("other")).alias("m"))
+    at = lambda i: F.try_element_at("m", F.lit(i))["position"].cast("bigint")
+    return df.select("id", F.size("m").cast("bigint").alias("n"), at(1).alias("first"), at(-1).alias("last"), A.apply_substitutions(F.col("other"), F.col("m")).alias("restored"))
+
+
 @query("cigar_totals", f"WITH {ALIGNMENTS}, o AS (SELECT unnest(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]')) AS x FROM alignments) SELECT x[-1] AS op, sum(x[:-2]::BIGINT)::BIGINT AS bases, count(*) AS n FROM o GROUP BY 1")
 def _(spark, sf):
     return stats.cigar_totals(aligned(spark, sf))

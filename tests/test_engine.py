@@ -274,3 +274,17 @@ def test_overlap_join_with_very_long_intervals(spark):
     got = sorted((r.l_id, r.r_id) for r in intervals.overlap_join(df, df).collect())
     assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] < b[3] and b[2] < a[3])
     assert intervals.overlap_join(df.limit(0), df).count() == 0
+
+
+def test_substitutions(spark):
+    rows = [("ACGT", "ACGT"), ("TCGA", "ACGT"), ("AC", "ACGT"), ("ACGTAA", "ACTT"), ("", "ACGT"), ("ACGT", ""), (None, "A"), ("TTTT", "AAAA")]
+    df = spark.createDataFrame(rows, "read string, reference string").withColumn("m", A.mismatches(F.col("read"), F.col("reference")))
+    got = df.select("read", "reference", F.transform("m", lambda x: x["position"]).alias("at"), A.apply_substitutions(F.col("reference"), F.col("m")).alias("changed")).collect()
+    for r in got:
+        if r.read is None:
+            assert r["at"] is None and r.changed is None
+        else:
+            assert r["at"] == [i for i, (a, b) in enumerate(zip(r.read, r.reference)) if a != b]
+            assert r.changed == r.read[: len(r.reference)] + r.reference[len(r.read) :]
+    beyond = F.expr("array(struct(9 AS position, 'T' AS base), struct(0 AS position, 'G' AS base))")
+    assert spark.range(1).select(A.apply_substitutions(F.lit("ACGT"), beyond)).first()[0] == "GCGT"
