@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -13,25 +15,42 @@ SCHEMA = "score int, query_start int, query_end int, reference_start int, refere
 def align(query: str, reference: str, match: int = 2, mismatch: int = -1, gap: int = -2) -> tuple[int, int, int, int, int, str]:
     """Best local alignment: the first maximum in row order; diagonal before up before left. Linear gap costs.
 
-    A row's left-going scores are a running maximum of ``score - j * gap``, so each row is a few vector operations.
+    A row's left-going scores are a running maximum of ``score - j * gap``, so each row is a few vector operations. Of the m
+    rows only each sqrt(m)-th is kept; the way back computes the rows between two of them again, so that memory is n * sqrt(m).
     """
     m, n = len(query or ""), len(reference or "")
     if not m or not n:
         return 0, 0, 0, 0, 0, ""
     q, r = np.frombuffer(query.encode("utf-32-le"), np.uint32), np.frombuffer(reference.encode("utf-32-le"), np.uint32)
-    score = np.zeros((m + 1, n + 1), np.int32)
     ramp = np.arange(n + 1, dtype=np.int32) * gap
-    for i in range(1, m + 1):
-        row = np.maximum(score[i - 1, :-1] + np.where(r == q[i - 1], match, mismatch), score[i - 1, 1:] + gap)
-        open_ = np.concatenate(([0], np.maximum(row, 0)))
-        score[i] = np.maximum.accumulate(open_ - ramp) + ramp
-    at = int(score.argmax())
-    i, j = divmod(at, n + 1)
-    best, end_i, end_j, ops = int(score[i, j]), i, j, []
-    while i and j and score[i, j] > 0:
-        if score[i, j] == score[i - 1, j - 1] + (match if q[i - 1] == r[j - 1] else mismatch):
+
+    def after(above: np.ndarray, i: int) -> np.ndarray:
+        """Row ``i`` from the one above it."""
+        row = np.maximum(above[:-1] + np.where(r == q[i - 1], match, mismatch), above[1:] + gap)
+        return (np.maximum.accumulate(np.concatenate(([0], np.maximum(row, 0))) - ramp) + ramp).astype(np.int32)
+
+    every = math.isqrt(m - 1) + 1
+    row, kept, best, end_i, end_j = np.zeros(n + 1, np.int32), [], 0, 0, 0
+    for i in range(m + 1):
+        if i:
+            row = after(row, i)
+            if row.max() > best:
+                best, end_i, end_j = int(row.max()), i, int(row.argmax())
+        if i % every == 0:
+            kept.append(row)
+    i, j, ops, first, rows = end_i, end_j, [], m + 1, []
+    while i and j:
+        if i - 1 < first:  # the rows from the last kept one above this
+            first = (i - 1) // every * every
+            rows = [kept[first // every]]
+            for k in range(first + 1, i + 1):
+                rows.append(after(rows[-1], k))
+        here, above = rows[i - first], rows[i - 1 - first]
+        if here[j] <= 0:
+            break
+        if here[j] == above[j - 1] + (match if q[i - 1] == r[j - 1] else mismatch):
             op, i, j = "M", i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] + gap:
+        elif here[j] == above[j] + gap:
             op, i = "I", i - 1
         else:
             op, j = "D", j - 1
