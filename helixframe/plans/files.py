@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import alignment as A
 from helixframe.functions import records as R
 from helixframe.operators.derive import ALIGNMENTS, INTERVALS, READS, alignments, intervals, reads, table
-from helixframe.sources import bam, fai, genbank, readers, scratch, writers
+from helixframe.sources import bam, columnar, fai, genbank, readers, scratch, writers
 from helixframe.streaming import counters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -279,11 +279,32 @@ def _(spark, sf):
 _REGION = ("chr1", 20_000, 60_000)
 
 
-@query("bam_region", f"SELECT * FROM ({_RECORDS_SQL}) WHERE reference = '{_REGION[0]}' AND position < {_REGION[2]} AND position + list_sum([x::BIGINT FOR x IN regexp_extract_all(cigar, '(\\d+)[MDN=X]', 1)]) > {_REGION[1]}")
+_IN_REGION = f"reference = '{_REGION[0]}' AND position < {_REGION[2]} AND position + list_sum([x::BIGINT FOR x IN regexp_extract_all(cigar, '(\\d+)[MDN=X]', 1)]) > {_REGION[1]}"
+
+
+@query("bam_region", f"SELECT * FROM ({_RECORDS_SQL}) WHERE {_IN_REGION}")
 def _(spark, sf):
     return _of_records(bam.read_bam(spark, _bam_files(spark, sf), _REGION))
 
 
+def _columns_of_bam(spark: SparkSession, sf: str) -> str:
+    path = scratch.new_path(spark, "columns")
+    columnar.write_columns(bam.read_bam(spark, _bam_files(spark, sf)), path)
+    return path
+
+
+@query("columnar_sam", _RECORDS_SQL)
+def _(spark, sf):
+    """BAM files as columns, and these as SAM lines."""
+    df = columnar.read_columns(spark, _columns_of_bam(spark, sf))
+    return _of_records(readers.read_sam(spark, stored(df, writers.sam_lines(df), "sam", writers.sam_header_lines(REFERENCES))))
+
+
+@query("columnar_region", f"SELECT * FROM ({_RECORDS_SQL}) WHERE {_IN_REGION}")
+def _(spark, sf):
+    return _of_records(columnar.read_columns(spark, _columns_of_bam(spark, sf), _REGION))
+
+
 @query("genbank_file", "SELECT 'L' || p_partkey AS locus, p_size::BIGINT AS length, 'Part ' || p_partkey || ' of ' || p_brand || '.' AS definition, 'AC' || p_partkey AS accession, p_type AS organism, 'gene' AS key, '1..' || p_size AS location, 'g' || p_partkey AS gene, repeat('acgt', p_size) AS sequence FROM part")
 def _(spark, sf):
     number = _text("p_partkey")
