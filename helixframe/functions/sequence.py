@@ -81,6 +81,24 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(complement(seq))
 
 
+def quality_features(seq: Column, qual: Column, length: int | None = None) -> Column:
+    """What a quality model reads: bases as 0 to 1 in steps of a quarter (A, C, G, T, others), then bytes of the qualities by 93.
+
+    Each half is padded with zeros to ``length``. Halves of different lengths, or longer ones, are errors.
+    """
+    codes = F.transform(F.split(F.translate(F.upper(seq), "ACGT", "0123"), ""), lambda x: F.coalesce(x.try_cast("int"), F.lit(4)))
+    base = F.transform(codes, lambda x: (F.when(x > 3, 4).otherwise(x) / 4).cast("float"))
+    score = F.transform(F.split(qual, ""), lambda x: (F.ascii(x) / 93).cast("float"))
+
+    def half(values: Column) -> Column:
+        own = F.when(F.length(seq) == 0, F.array().cast("array<float>")).otherwise(values)
+        return own if length is None else F.concat(own, F.array_repeat(F.lit(0.0).cast("float"), F.lit(length) - F.length(seq)))
+
+    wrong = F.raise_error(F.lit("sequence and quality differ in length, or are too long")).cast("array<float>")
+    fits = F.length(seq) == F.length(qual)
+    return F.when(fits if length is None else fits & (F.length(seq) <= length), F.concat(half(base), half(score))).when(seq.isNull() | qual.isNull(), F.lit(None)).otherwise(wrong)
+
+
 def count_invalid(seq: Column) -> Column:
     """Characters outside the DNA alphabet; U is one of them."""
     return F.length(F.regexp_replace(seq, f"[{DNA}]", "")).cast("bigint")

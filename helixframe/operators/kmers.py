@@ -38,6 +38,18 @@ def minimizers(reads: DataFrame, k: int, w: int, hashed: Column | None = None) -
     return found.select("id", F.explode("m").alias("m")).select("id", F.col("m.position").cast("bigint").alias("position"), F.col("m.h.hi").alias("hi"), F.col("m.h.lo").alias("lo"))
 
 
+def minimizer_kmers(reads: DataFrame, k: int, w: int) -> DataFrame:
+    """``id, position, kmer``: the texts of ``minimizers``, cut out of the read's array of k-mers before the rows are made."""
+    windows = kmer.windows(F.col("seq"), k)
+
+    def texts(v: Column) -> Column:
+        valid = F.transform(v, lambda x, i: F.when(kmer.is_valid_kmer(x), F.struct(kmer.fnv1a(x).alias("h"), i.alias("position"), x.alias("kmer"))))
+        return _changes(let(valid, lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(h, i, w)))))
+
+    found = reads.select("id", F.explode(let(windows, texts)).alias("m"))
+    return found.select("id", F.col("m.position").cast("bigint").alias("position"), F.col("m.kmer").alias("kmer"))
+
+
 def nthash_minimizers(reads: DataFrame, k: int, w: int) -> DataFrame:
     """``id, position, hash`` by canonical ntHash over full windows only; unsigned order. N hashes as 0.
 

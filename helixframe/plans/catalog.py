@@ -125,6 +125,11 @@ def _(spark, sf):
     return kmers.minimizers(reads(spark, sf), 5, 4)
 
 
+@query("minimizer_kmers", f"SELECT m.id, m.position, substr(seq, m.position + 1, 5) AS kmer FROM ({_SQL['minimizers_fnv']}) m JOIN (WITH {READS} SELECT id, seq FROM reads) r ON r.id = m.id")
+def _(spark, sf):
+    return kmers.minimizer_kmers(reads(spark, sf), 5, 4)
+
+
 def _nthash_sql(k: int) -> str:
     """The canonical ntHash of ``kmer`` as an unsigned number: rotated seeds are constants; other letters than bases hash as 0."""
     turn = lambda x, n: ((x << n) | (x >> (64 - n))) & ((1 << 64) - 1)
@@ -284,6 +289,15 @@ def _(spark, sf):
     return aligned(spark, sf).where(A.is_high_quality(F.col("mapq"), 30)).select("l_orderkey", "l_linenumber", "mapq")
 
 
+@query("quality_features", f"""WITH {READS} SELECT id, 2 * length(seq) AS n, list_sum(list_transform(string_split(seq, ''), lambda c: CASE c WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END))::BIGINT AS bases, list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c)))::BIGINT AS scores FROM reads WHERE length(seq) > 0""")
+def _(spark, sf):
+    """The features of each read's quality model, as sums of both halves in their steps."""
+    df = reads(spark, sf).where("seq <> ''").select("id", S.quality_features(F.col("seq"), F.col("qual")).alias("f"))
+    total = lambda a, steps: F.aggregate(a, F.lit(0).cast("bigint"), lambda t, x: t + F.round(x * steps).cast("bigint"))
+    half = F.expr("size(f) DIV 2").cast("int")
+    return df.select("id", F.size("f").cast("bigint").alias("n"), total(F.slice("f", F.lit(1), half), 4).alias("bases"), total(F.slice("f", half + 1, half), 93).alias("scores"))
+
+
 @query("read_mismatches", f"""WITH {READS}, r AS (SELECT id, seq, reverse(translate(seq, 'ACGT', 'TGCA')) AS other FROM reads), m AS (SELECT id, seq, list_filter(range(length(seq)), lambda i: substr(seq, i + 1, 1) <> substr(other, i + 1, 1)) AS places FROM r)
   SELECT id, len(places)::BIGINT AS n, places[1]::BIGINT AS first, places[-1]::BIGINT AS last, seq AS restored FROM m""")
 def _(spark, sf):

@@ -288,3 +288,27 @@ def test_substitutions(spark):
             assert r.changed == r.read[: len(r.reference)] + r.reference[len(r.read) :]
     beyond = F.expr("array(struct(9 AS position, 'T' AS base), struct(0 AS position, 'G' AS base))")
     assert spark.range(1).select(A.apply_substitutions(F.lit("ACGT"), beyond)).first()[0] == "GCGT"
+
+
+def test_quality_features(spark):
+    of = lambda seq, qual, n: spark.range(1).select(S.quality_features(F.lit(seq), F.lit(qual), n)).first()[0]
+    assert of("AcgTN", "!!~~~", 6)[:6] == [0, 0.25, 0.5, 0.75, 1, 0]
+    assert of("AcgTN", "!!~~~", 6)[6:] == pytest.approx([33 / 93] * 2 + [126 / 93] * 3 + [0])
+    assert of("", "", 2) == [0] * 4 and of("", "", None) == [] and of(None, "I", 3) is None
+    for bad in (("AC", "I", 5), ("ACGT", "IIII", 3)):
+        with pytest.raises(Exception, match="differ in length"):
+            of(*bad)
+
+
+def test_columns_of_alignments(spark, tmp_path):
+    """A region's filters reach the scan; reads without a place or a span are kept, and are in no region."""
+    from helixframe.sources import bam, columnar
+
+    rows = [(f"r{i}", 0, "chr1", i * 10, 60, "5M20D5M", None, None, 0, "ACGTACGTAC", None, {"NM": "i:1"}) for i in range(50)]
+    rows += [("u", 4, None, None, None, "*", None, None, 0, "A", None, {}), ("s", 0, "chr1", 100, 1, "10S", None, None, 0, "ACGTACGTAC", None, {})]
+    columnar.write_columns(spark.createDataFrame(rows, bam.SCHEMA), str(tmp_path / "c"))
+    whole, some = columnar.read_columns(spark, str(tmp_path / "c")), columnar.read_columns(spark, str(tmp_path / "c"), ("chr1", 100, 120))
+    assert sorted(r.name for r in whole.collect()) == sorted(r[0] for r in rows) and whole.columns == [c.split()[0] for c in bam.SCHEMA.replace("map<string,string>", "map").split(", ")]
+    assert sorted(r.name for r in some.collect()) == sorted(f"r{i}" for i in range(50) if i * 10 < 120 and i * 10 + 30 > 100)
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(some._jdf.queryExecution(), "formatted")
+    assert "LessThan(position,120)" in plan and "GreaterThan(end_position,100)" in plan and "EqualTo(reference,chr1)" in plan
