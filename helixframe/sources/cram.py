@@ -442,7 +442,8 @@ def read_cram(spark: SparkSession, path: str, reference: DataFrame | None = None
     """Alignment records with the columns of ``read_bam``; reads whose bases are the reference's hold N without it.
 
     A file, of 2 GB at most, is cut into its slices by one task; slices are spread over the cluster and joined to the pieces of
-    the reference that they need, so that no task holds a whole genome. Scores that aren't stored beside stored ones are 0.
+    the reference that they need, so that no task holds a whole genome; with a reference each file is cut twice, for these needs
+    and for the slices. Scores that aren't stored beside stored ones are 0.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -149,7 +149,10 @@ def _splits(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple[str
 
 
 def _written_seams(raw: DataFrame, rule: Rule) -> DataFrame:
-    """``file, header, record``: one row with the kept header for each file, one for each record that a border cuts."""
+    """``file, header, record``: one row with the kept header for each file, one for each record that a border cuts.
+
+    A file's heads and tails, parts of a record for each split, meet in one task.
+    """
 
     def seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, block, split in _splits(batches, rule):
