@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # The 64-bit FNV-1a offset basis as high and low half; the prime is 2**40 + 435.
 FNV_HIGH, FNV_LOW, FNV_SMALL = 3421674724, 2216829733, 435
+FNV_PRIME = (1 << 40) + FNV_SMALL
 # ntHash seeds of the bases.
 NT_SEEDS = {"A": 4362857412768957556, "C": 3572411708064410444, "G": 2319985823310095140, "T": 2978368046464386134}
 _MASK = 0xFFFFFFFF

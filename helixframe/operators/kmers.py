@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import kmer
-from helixframe.functions.sequence import let
 
 #: Minimizers of a batch that Python returns.
 _MOST = 100_000
+#: Characters of the sequences that are hashed at once.
+_CHARS = 500_000
 
 
 def spectrum(reads: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
@@ -21,33 +22,91 @@ def spectrum(reads: DataFrame, k: int, by: list[str] | None = None) -> DataFrame
     return reads.select(*(by or []), F.explode(kmer.kmers(F.col("seq"), k)).alias("kmer")).groupBy(*(by or []), "kmer").agg(F.count("*").alias("n"))
 
 
-def _changes(minima: Column) -> Column:
-    """The minima that differ from the one before; nulls left out. Positions never go back, so no other repeats exist."""
-    return let(F.filter(minima, lambda x: x.isNotNull()), lambda m: F.filter(m, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(m, i - 1))))
+def _fnv_minima(seqs: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The read's number, position, hash and letters of each minimizer of some sequences, which are laid end to end.
+
+    Behind each sequence come as many zeros as keep its windows from the next one; a k-mer with one of them, or with any other
+    letter than A, C, G, T, is void.
+    """
+    pad = k + w
+    data = np.frombuffer("".join(s + "\0" * pad for s in seqs).encode("utf-32-le"), np.uint32)
+    codes = np.where(data < 128, data, 0).astype(np.uint8)
+    sizes = np.array([len(s) for s in seqs], np.int64)
+    firsts = np.cumsum(sizes + pad) - sizes - pad
+    n = len(codes) - k + 1
+    bad = np.concatenate(([0], np.cumsum(~np.isin(codes, np.frombuffer(b"ACGT", np.uint8)), dtype=np.int32)))
+    void = bad[k:] != bad[:-k]
+    hashes = np.full(n, kmer.FNV_HIGH << 32 | kmer.FNV_LOW, np.uint64)
+    for j in range(k):
+        hashes ^= codes[j : j + n]
+        hashes *= np.uint64(kmer.FNV_PRIME)
+    hashes[void] = ~np.uint64(0)
+    n -= w - 1
+    best, at, none = hashes[:n].copy(), np.zeros(n, np.int32), void[:n].copy()
+    for j in range(1, w):
+        here = hashes[j : j + n]
+        less = (here < best) | (none & ~void[j : j + n])
+        np.copyto(best, here, where=less)
+        at[less] = j
+        none[less] = False
+    read = np.repeat(np.arange(len(seqs), dtype=np.int32), sizes + pad)[:n]
+    start = np.arange(n) - firsts[read]
+    kept = np.flatnonzero(~none & (start <= np.maximum(sizes - k + 1 - w, 0)[read]))
+    place = kept + at[kept]
+    # Positions never go back, so a minimizer's repeats are neighbours; a place belongs to one read only.
+    new = np.ones(len(kept), bool)
+    new[1:] = place[1:] != place[:-1]
+    kept, place = kept[new], place[new]
+    letters = codes[place[:, None] + np.arange(k)]
+    return read[kept], place - firsts[read[kept]], best[kept], letters
+
+
+def _fnv(reads: DataFrame, k: int, w: int, schema: str, columns: Callable[[np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """``id, position`` and columns of the hashes and letters of minimizers; about ``_CHARS`` characters are held at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(ids: list[int], seqs: list[str]) -> Iterator[pa.RecordBatch]:
+            read, position, hashes, letters = _fnv_minima(seqs, k, w)
+            held = batch.column(0).take(pa.array(ids)).take(pa.array(read))
+            whole = pa.RecordBatch.from_arrays([held, pa.array(position, pa.int64()), *columns(hashes, letters)], names)
+            for at in range(0, len(whole), _MOST):
+                yield whole.slice(at, _MOST)
+
+        for batch in batches:
+            ids, seqs, size = [], [], 0
+            for i, seq in enumerate(batch.column(1)):
+                ids.append(i)
+                seqs.append(seq.as_py())
+                size += len(seqs[-1])
+                if size > _CHARS:
+                    yield from found(ids, seqs)
+                    ids, seqs, size = [], [], 0
+            if seqs:
+                yield from found(ids, seqs)
+
+    names = ["id", "position", *(c.split()[0] for c in schema.split(", "))]
+    kept = reads.select("id", "seq").where(F.length("seq") >= k if k > 0 and w > 0 else F.lit(False))
+    return kept.mapInArrow(run, f"id {reads.schema['id'].dataType.simpleString()}, position bigint, {schema}")
 
 
-def minimizers(reads: DataFrame, k: int, w: int, hashed: Column | None = None) -> DataFrame:
+def minimizers(reads: DataFrame, k: int, w: int) -> DataFrame:
     """``id, position, hi, lo``: the least hash of each window of ``w`` k-mers, leftmost of equal ones, repeats in a row once.
 
-    Fewer than ``w`` k-mers make one window; windows without a valid k-mer give nothing. A read stays in its row: windows are
-    slices of its own array, so there is no shuffle.
+    Fewer than ``w`` k-mers make one window; windows without a valid k-mer give nothing. A read stays in its row, many reads
+    are hashed at once as arrays, and there is no shuffle.
     """
-    valid = F.transform(kmer.windows(F.col("seq"), k), lambda x, i: F.when(kmer.is_valid_kmer(x), F.struct(kmer.fnv1a(x).alias("h"), i.alias("position"))))
-    least = let(valid, lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.size(v) - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(v, i, w))))
-    found = reads.select("id", _changes(least).alias("m"))
-    return found.select("id", F.explode("m").alias("m")).select("id", F.col("m.position").cast("bigint").alias("position"), F.col("m.h.hi").alias("hi"), F.col("m.h.lo").alias("lo"))
+    halves = lambda h, letters: [pa.array((h >> np.uint64(32)).astype(np.int64)), pa.array((h & np.uint64(0xFFFFFFFF)).astype(np.int64))]
+    return _fnv(reads, k, w, "hi bigint, lo bigint", halves)
 
 
 def minimizer_kmers(reads: DataFrame, k: int, w: int) -> DataFrame:
-    """``id, position, kmer``: the texts of ``minimizers``, cut out of the read's array of k-mers before the rows are made."""
-    windows = kmer.windows(F.col("seq"), k)
+    """``id, position, kmer``: the texts of ``minimizers``, cut out of the arrays that are hashed."""
 
-    def texts(v: Column) -> Column:
-        valid = F.transform(v, lambda x, i: F.when(kmer.is_valid_kmer(x), F.struct(kmer.fnv1a(x).alias("h"), i.alias("position"), x.alias("kmer"))))
-        return _changes(let(valid, lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(h, i, w)))))
+    def texts(hashes: np.ndarray, letters: np.ndarray) -> list[pa.Array]:
+        ends = pa.py_buffer(np.arange(0, (len(letters) + 1) * k, k, dtype=np.int32)[: len(letters) + 1])
+        return [pa.StringArray.from_buffers(len(letters), ends, pa.py_buffer(letters.tobytes()))]
 
-    found = reads.select("id", F.explode(let(windows, texts)).alias("m"))
-    return found.select("id", F.col("m.position").cast("bigint").alias("position"), F.col("m.kmer").alias("kmer"))
+    return _fnv(reads, k, w, "kmer string", texts)
 
 
 def nthash_minimizers(reads: DataFrame, k: int, w: int) -> DataFrame:

@@ -312,3 +312,35 @@ def test_columns_of_alignments(spark, tmp_path):
     assert sorted(r.name for r in some.collect()) == sorted(f"r{i}" for i in range(50) if i * 10 < 120 and i * 10 + 30 > 100)
     plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(some._jdf.queryExecution(), "formatted")
     assert "LessThan(position,120)" in plan and "GreaterThan(end_position,100)" in plan and "EqualTo(reference,chr1)" in plan
+
+
+def brute_minimizers(seq, k, w):
+    """Each window's least (hash, position), windows of void k-mers left out, repeats in a row once."""
+    found, last = [], max(len(seq) - k + 1 - w, 0)
+    for i in range(last + 1) if len(seq) >= k else ():
+        valid = []
+        for j in range(i, min(i + w, len(seq) - k + 1)):
+            if set(text := seq[j : j + k]) <= set("ACGT"):
+                h = 0xCBF29CE484222325
+                for c in text.encode():
+                    h = (h ^ c) * 0x100000001B3 & ((1 << 64) - 1)
+                valid.append((h, j, text))
+        if valid and (not found or found[-1] != min(valid)):
+            found.append(min(valid))
+    return found
+
+
+def test_minimizers_of_odd_reads(spark, monkeypatch):
+    rng = random.Random(5)
+    held = {1: "", 2: "ACG", 3: "ACGTA", 4: "ACGTAC", 5: "N" * 40, 6: "A" * 30, 7: "ACGTNACGTNACGTACG", 8: "ACGé\U0001f600ACGTTGCAAC\n", 9: None}
+    held |= {i: "".join(rng.choices("ACGTN", [5, 5, 5, 5, 1], k=rng.randint(1, 300))) for i in range(10, 60)}
+    monkeypatch.setattr(kmers, "_CHARS", 700)
+    monkeypatch.setattr(kmers, "_MOST", 40)
+    df = spark.createDataFrame(list(held.items()), "id long, seq string").coalesce(1)
+    for k, w in ((5, 4), (3, 1), (1, 7)):
+        want = [(i, *m) for i, s in held.items() for m in brute_minimizers(s or "", k, w)]
+        plan = kmers.minimizers(df, k, w)
+        assert sorted((r.id, r.position, r.hi << 32 | r.lo) for r in plan.collect()) == sorted((i, p, h) for i, h, p, _ in want)
+        assert "MapInArrow" in plan._jdf.queryExecution().executedPlan().toString()  # arrays of many reads, no lambdas by k-mer
+        assert sorted(tuple(r) for r in kmers.minimizer_kmers(df, k, w).collect()) == sorted((i, p, t) for i, _, p, t in want)
+    assert kmers.minimizers(df, 0, 4).count() == kmers.minimizers(df, 5, 0).count() == 0
