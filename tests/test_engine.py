@@ -344,3 +344,23 @@ def test_minimizers_of_odd_reads(spark, monkeypatch):
         assert "MapInArrow" in plan._jdf.queryExecution().executedPlan().toString()  # arrays of many reads, no lambdas by k-mer
         assert sorted(tuple(r) for r in kmers.minimizer_kmers(df, k, w).collect()) == sorted((i, p, t) for i, _, p, t in want)
     assert kmers.minimizers(df, 0, 4).count() == kmers.minimizers(df, 5, 0).count() == 0
+
+
+def test_swept_overlaps_of_all_kinds(spark, monkeypatch):
+    """Empty, equal, long and nested intervals, over bins, tiles and steps of a few rows; each pair is made once, no other is looked at."""
+    rng = random.Random(3)
+    for name, value in {"TILE": 7, "STEP": 5, "MOST": 6}.items():
+        monkeypatch.setattr(intervals, name, value)
+    rows = []
+    for i in range(150):
+        start = rng.choice([10, 64, rng.randint(0, 300)])
+        rows.append((i, rng.choice("xy"), start, start + rng.choice([0, 0, 1, 4, 9, 200])))
+    df = spark.createDataFrame([*rows, (150, None, 1, 5), (151, "x", None, 5)], "id long, chrom string, start long, end long")
+    hit = [(a, b) for a in rows for b in rows if a[1] == b[1] and a[2] < b[3] and b[2] < a[3]]
+    inside = [(a, b) for a, b in hit if a[2] <= b[2] and a[3] >= b[3]]
+    ids = lambda pairs: sorted((a[0], b[0]) for a, b in pairs)
+    got = lambda found: sorted((r.l_id, r.r_id) for r in found.collect())
+    assert got(intervals.overlap_join(df, df)) == ids(hit)
+    assert got(intervals.overlap_join(df, df, contained=True)) == ids(inside)
+    assert got(intervals.self_overlaps(df)) == [p for p in ids(hit) if p[0] < p[1]]
+    assert got(intervals.self_overlaps(df, contained=True)) == [p for p in ids(inside) if p[0] != p[1]]
