@@ -31,9 +31,13 @@ def degrees(segments: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def ends(segments: DataFrame, links: DataFrame) -> DataFrame:
-    """Segments that no link enters (source) or leaves (sink)."""
-    source = segments.join(links.select(F.col("to_segment").alias("name")), "name", "left_anti").select("name", F.lit("source").alias("kind"))
-    sink = segments.join(links.select(F.col("from_segment").alias("name")), "name", "left_anti").select("name", F.lit("sink").alias("kind"))
+    """Segments that no link enters (source) or leaves (sink).
+
+    Links are reduced to names before the shuffle, so that a task holds no name twice, whatever a segment's degree.
+    """
+    named = lambda c: links.select(F.col(c).alias("name")).distinct()
+    source = segments.join(named("to_segment"), "name", "left_anti").select("name", F.lit("source").alias("kind"))
+    sink = segments.join(named("from_segment"), "name", "left_anti").select("name", F.lit("sink").alias("kind"))
     return source.unionByName(sink)
 
 
