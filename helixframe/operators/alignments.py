@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,21 +88,81 @@ def cigar_totals(df: DataFrame) -> DataFrame:
     return ops.groupBy(F.col("c.op").alias("op")).agg(F.sum(F.col("c.len").cast("bigint")).alias("bases"), F.count("*").alias("n"))
 
 
-def bases_at(df: DataFrame, sites: DataFrame) -> DataFrame:
-    """Depth of matching bases at each site (``reference_id, position``): CIGAR blocks joined by position bin."""
-    from helixframe.operators.intervals import overlap_join
+def _blocks(df: DataFrame) -> DataFrame:
+    """``bin_, start, end`` and the reference of the blocks of matching bases, in each bin that one touches; a batch's CIGARs are parsed once each."""
+    kind = df.schema["reference_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(2).dictionary_encode()
+            starts, ends, counts = [], [], []
+            for cigar in coded.dictionary.to_pylist():
+                at, counts = 0, [*counts, 0]
+                for n, op in re.findall("([0-9]+)([MIDNSHP=X])", cigar):
+                    to = at + (int(n) if op in A.REFERENCE_OPS else 0)
+                    if op in "M=X":
+                        starts, ends, counts[-1] = [*starts, at], [*ends, to], counts[-1] + 1
+                    at = to
+            codes, n = coded.indices.to_numpy(), np.array(counts, np.int64)
+            row = np.repeat(np.arange(len(codes)), n[codes])
+            upto = np.cumsum(n[codes])
+            block = np.arange(len(row)) - np.repeat(upto - n[codes], n[codes]) + (np.cumsum(n) - n)[codes[row]]
+            place = batch.column(1).to_numpy()[row]
+            start, end = place + np.array(starts, np.int64)[block], place + np.array(ends, np.int64)[block]
+            for at in range(0, len(row), 50_000):
+                part = slice(at, at + 50_000)
+                first = start[part] >> intervals.BIN
+                copies = np.maximum(((end[part] - 1) >> intervals.BIN) - first, 0) + 1
+                which = np.repeat(np.arange(len(first)), copies)
+                bins = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(copies) - copies, copies)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[part][which])), pa.array(bins), pa.array(start[part][which]), pa.array(end[part][which])], ["reference_id", "bin_", "start", "end"])
+
+    whole = df.where(F.col("reference_id").isNotNull() & F.col("position").isNotNull() & F.col("cigar").isNotNull())
+    return whole.select("reference_id", F.col("position").cast("bigint"), "cigar").mapInArrow(run, f"reference_id {kind}, bin_ bigint, start bigint, end bigint")
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("blocks"))
 
-    def step(a: Column, x: Column) -> Column:
-        to = a["at"] + F.when(x["op"].isin(*A.REFERENCE_OPS), x["len"]).otherwise(0)
-        more = F.when(x["op"].isin("M", "=", "X"), F.array(F.struct(a["at"].alias("start"), to.alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-        return F.struct(to.alias("at"), F.concat(a["blocks"], more).alias("blocks"))
+def bases_at(df: DataFrame, sites: DataFrame) -> DataFrame:
+    """Depth of matching bases at each site (``reference_id, position``) that has any.
 
-    blocks = df.select("reference_id", "position", F.explode(F.aggregate(A.parse_cigar(F.col("cigar")), zero, step)["blocks"]).alias("b"))
-    left = blocks.select(F.col("reference_id").alias("chrom"), (F.col("position") + F.col("b.start")).cast("bigint").alias("start"), (F.col("position") + F.col("b.end")).cast("bigint").alias("end"))
-    right = sites.select(F.col("reference_id").alias("chrom"), F.col("position").cast("bigint").alias("start"), (F.col("position") + 1).cast("bigint").alias("end"))
-    return overlap_join(left, right).groupBy(F.col("r_chrom").alias("reference_id"), F.col("r_start").alias("position")).agg(F.count("*").alias("depth"))
+    CIGAR blocks meet a bin's sites, of which there are no more than positions: each block adds one where its sites begin and takes
+    one where they end, so that its pairs with sites are never made.
+    """
+    kind = sites.schema["reference_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, known, changes = None, [], None
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            if changes is not None and changes.any():
+                depth = np.cumsum(changes[:-1]) * held[1]
+                at = np.flatnonzero(depth)
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(at), reference), pa.array(held[0][at]), pa.array(depth[at])], ["reference_id", "position", "depth"])
+
+        for batch in batches:
+            reference = batch.schema.field("reference_id").type
+            bins, side, start, end = (batch.column(c).to_numpy() for c in ("bin_", "side_", "start", "end"))
+            names = batch.column("reference_id").dictionary_encode()
+            codes, values = names.indices.to_numpy(), names.dictionary.to_pylist()
+            new = np.flatnonzero((bins[1:] != bins[:-1]) | (codes[1:] != codes[:-1]) | (side[1:] != side[:-1])) + 1
+            for at, stop in zip([0, *new], [*new, len(batch)]):
+                if (values[codes[at]], bins[at]) != key:
+                    yield from counted()
+                    key, known, changes = (values[codes[at]], bins[at]), [], None
+                if side[at] == 0:
+                    known.append((start[at:stop], end[at:stop]))
+                elif known:
+                    if changes is None:
+                        held = [np.concatenate(x) for x in zip(*known)]
+                        changes = np.zeros(len(held[0]) + 1, np.int64)
+                    low, high = (np.searchsorted(held[0], x[at:stop], "left") for x in (start, end))
+                    changes += np.bincount(low, minlength=len(changes)) - np.bincount(high, minlength=len(changes))
+        yield from counted()
+
+    place = F.col("position").cast("bigint")
+    counts = sites.where(F.col("reference_id").isNotNull()).groupBy("reference_id", place.alias("start")).agg(F.count("*").alias("end"))
+    both = counts.where("start is not null").select("reference_id", F.shiftright("start", intervals.BIN).alias("bin_"), "start", "end", F.lit(0).alias("side_")).unionByName(_blocks(df).withColumn("side_", F.lit(1)))
+    dealt = both.repartition("reference_id", "bin_").sortWithinPartitions("reference_id", "bin_", "side_", F.when(F.col("side_") == 0, F.col("start")))
+    return dealt.mapInArrow(run, f"reference_id {kind}, position bigint, depth bigint")
 
 
 def n50(df: DataFrame, by: str, length: str) -> DataFrame:

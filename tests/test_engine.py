@@ -364,3 +364,24 @@ def test_swept_overlaps_of_all_kinds(spark, monkeypatch):
     assert got(intervals.overlap_join(df, df, contained=True)) == ids(inside)
     assert got(intervals.self_overlaps(df)) == [p for p in ids(hit) if p[0] < p[1]]
     assert got(intervals.self_overlaps(df, contained=True)) == [p for p in ids(inside) if p[0] != p[1]]
+
+
+def test_depth_at_repeated_and_bordering_sites(spark):
+    """Blocks over the borders of bins, repeated sites, nulls and empty CIGARs; no block is paired with its sites."""
+    from helixframe.operators import alignments as stats
+
+    reads = [(0, 16380, "4M2D6M"), (0, 16380, "10="), (0, 5, "*"), (None, 5, "9M"), (1, 16383, "3S40000M"), (1, None, "4M"), (0, 7, None)]
+    sites = [(0, p) for p in (16379, 16380, 16383, 16384, 16385, 16386, 16391, 16392)] + [(0, 16384), (1, 16383), (1, 50000), (1, 56383), (2, 1), (None, 3)]
+    df = spark.createDataFrame(reads, "reference_id long, position long, cigar string")
+    plan = stats.bases_at(df, spark.createDataFrame(sites, "reference_id long, position long"))
+    assert sorted(tuple(r) for r in plan.collect()) == [(0, 16380, 2), (0, 16383, 2), (0, 16384, 2), (0, 16385, 1), (0, 16386, 2), (0, 16389 + 2, 1), (1, 16383, 1), (1, 50000, 1)]
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_graph_ends_reduce_links_before_the_join(spark):
+    from helixframe.operators import features
+
+    links = spark.createDataFrame([("a", "b")] * 500 + [("b", "c"), (None, "d")], "from_segment string, to_segment string")
+    plan = features.ends(spark.createDataFrame([(c,) for c in "abcd"], "name string"), links)
+    assert sorted(tuple(r) for r in plan.collect()) == [("a", "source"), ("c", "sink"), ("d", "sink")]
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
