@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.functions.sequence import let
 
@@ -94,6 +98,50 @@ def mismatches(read: Column, reference: Column) -> Column:
     return F.filter(both, lambda x: x["base"] != x["expected"])
 
 
+@F.arrow_udf(T.StructType().add("positions", T.ArrayType(T.IntegerType())).add("bases", T.StringType()).add("expected", T.StringType()))
+def _differences(read: pa.Array, reference: pa.Array) -> pa.Array:
+    bases, expected, counts, places = [], [], [], []
+    for x, y in zip(read.to_pylist(), reference.to_pylist()):
+        if x is None or y is None:
+            at, x, y = np.zeros(0, np.int32), "", ""
+        else:
+            n = min(len(x), len(y))
+            x, y = (np.frombuffer(s[:n].encode("utf-32-le"), np.uint32) for s in (x, y))
+            at = np.flatnonzero(x != y).astype(np.int32)
+            x, y = (s[at].tobytes().decode("utf-32-le") for s in (x, y))
+        bases.append(x), expected.append(y), counts.append(len(at)), places.append(at)
+    ends = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *places])))
+    gone = pc.or_(read.is_null(), reference.is_null())
+    return pa.StructArray.from_arrays([lists, pa.array(bases, pa.string()), pa.array(expected, pa.string())], ["positions", "bases", "expected"], mask=gone)
+
+
+@F.arrow_udf(T.StringType())
+def _substituted(reference: pa.Array, positions: pa.Array, bases: pa.Array) -> pa.Array:
+    out = []
+    for text, at, letters in zip(reference, positions, bases.to_pylist()):
+        text = text.as_py()
+        if text is not None and at.is_valid and letters is not None:
+            codes, at = np.array(np.frombuffer(text.encode("utf-32-le"), np.uint32)), at.values.to_numpy()
+            inside = (at >= 0) & (at < len(codes))
+            codes[at[inside]] = np.frombuffer(letters.encode("utf-32-le"), np.uint32)[inside]
+            text = codes.tobytes().decode("utf-32-le")
+        else:
+            text = None
+        out.append(text)
+    return pa.array(out, pa.string())
+
+
+def differences(read: Column, reference: Column) -> Column:
+    """``mismatches`` as a struct of the positions, the read's letters there and the reference's, a letter for each position."""
+    return _differences(read, reference)
+
+
+def substituted(reference: Column, positions: Column, bases: Column) -> Column:
+    """The reference with other letters at these positions, one for a position; beyond its end nothing changes."""
+    return _substituted(reference, positions, bases)
+
+
 def apply_substitutions(reference: Column, substitutions: Column) -> Column:
     """The reference with other bases at the positions of (position, base), one for a position; beyond its end nothing changes.
 

@@ -301,9 +301,10 @@ def _(spark, sf):
 def _(spark, sf):
     """Each read against its reverse complement, which the differences turn into the read again."""
     df = reads(spark, sf).select("id", "seq", S.reverse_complement(F.col("seq")).alias("other"))
-    df = df.select("id", "other", A.mismatches(F.col("seq"), F.col("other")).alias("m"))
-    at = lambda i: F.try_element_at("m", F.lit(i))["position"].cast("bigint")
-    return df.select("id", F.size("m").cast("bigint").alias("n"), at(1).alias("first"), at(-1).alias("last"), A.apply_substitutions(F.col("other"), F.col("m")).alias("restored"))
+    df = df.select("id", "other", A.differences(F.col("seq"), F.col("other")).alias("m"))
+    at = lambda i: F.try_element_at("m.positions", F.lit(i)).cast("bigint")
+    restored = A.substituted(F.col("other"), F.col("m.positions"), F.col("m.bases"))
+    return df.select("id", F.size("m.positions").cast("bigint").alias("n"), at(1).alias("first"), at(-1).alias("last"), restored.alias("restored"))
 
 
 @query("cigar_totals", f"WITH {ALIGNMENTS}, o AS (SELECT unnest(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]')) AS x FROM alignments) SELECT x[-1] AS op, sum(x[:-2]::BIGINT)::BIGINT AS bases, count(*) AS n FROM o GROUP BY 1")
