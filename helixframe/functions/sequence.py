@@ -153,20 +153,38 @@ def trim_quality(text: Column, qual: Column, least: int, start: bool = True, end
 def window_cut(qual: Column, least: int, width: int) -> Column:
     """Length to keep: the end of the last window whose truncated mean quality suffices; none does: everything.
 
-    A text below the width is kept or dropped as a whole by its truncated mean; an empty one stays empty.
+    A text below the width is kept or dropped as a whole by its truncated mean; an empty one stays empty. Sums of windows are
+    differences of one running sum over some hundred thousand of a batch's bytes.
     """
     if width < 1:
         raise ValueError("the window needs a width")
-    total = lambda q: F.aggregate(q, F.lit(0), lambda a, x: a + x)
 
-    def keep(q: Column) -> Column:
-        n = F.size(q)
-        short = F.when(n == 0, 0).when(F.floor(total(q) / F.nullif(n, F.lit(0))) >= least, n).otherwise(0)
-        good = F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.floor(total(F.slice(q, i, width)) / width) >= least)
-        last = F.array_position(F.reverse(good), True)
-        return F.when(n < width, short).otherwise(F.when(last == 0, n).otherwise(n - last + 1)).cast("int")
-
-    return let(qualities(qual), keep)
+    def some(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n, base = np.diff(ends), ends[0]
+        upto = np.concatenate(([0], np.cumsum(data[base : ends[-1]].astype(np.int64) - 33)))
+        starts, stops = ends[:-1] - base, ends[1:] - base
+        out = np.where((n > 0) & ((upto[stops] - upto[starts]) // np.maximum(n, 1) >= least), n, 0)
+        full = n >= width
+        if full.any():
+            # By each end of a window the last end, up to there, of one that suffices; it must lie in the read.
+            good = np.zeros(len(upto), np.int64)
+            good[width:] = np.where((upto[width:] - upto[:-width]) // width >= least, np.arange(width, len(upto)), 0)
+            last = np.maximum.accumulate(good)[stops]
+            out = np.where(full, np.where(last >= starts + width, last - starts, n), out)
+        return out
+
+    @F.arrow_udf(T.IntegerType())
+    def cut(qual: pa.Array) -> pa.Array:
+        ends = np.frombuffer(qual.buffers()[1], np.int32)[qual.offset : qual.offset + len(qual) + 1].astype(np.int64)
+        data = np.frombuffer(qual.buffers()[2] or b"", np.uint8)
+        kept, at = [np.zeros(0, np.int64)], 0
+        while at < len(qual):
+            stop = max(int(np.searchsorted(ends, ends[at] + 500_000, "right")) - 1, at + 1)
+            kept.append(some(data, ends[at : stop + 1]))
+            at = stop
+        return pa.array(np.concatenate(kept).astype(np.int32), mask=qual.is_null().to_numpy(zero_copy_only=False))
+
+    return cut(qual)
 
 
 def mask_low_quality(seq: Column, qual: Column, least: int) -> Column:

@@ -385,3 +385,32 @@ def test_graph_ends_reduce_links_before_the_join(spark):
     plan = features.ends(spark.createDataFrame([(c,) for c in "abcd"], "name string"), links)
     assert sorted(tuple(r) for r in plan.collect()) == [("a", "source"), ("c", "sink"), ("d", "sink")]
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+def test_differences_are_the_mismatches(spark):
+    rows = [("ACGT", "ACGA"), ("A\U0001f600cG", "Aé\U0001f600GTT"), ("", "AC"), ("AC", ""), (None, "A"), ("A", None), ("AAAA", "TTTT")]
+    df = spark.createDataFrame(rows, "read string, reference string").withColumn("m", A.mismatches(F.col("read"), F.col("reference"))).withColumn("d", A.differences(F.col("read"), F.col("reference")))
+    df = df.withColumn("to", A.substituted(F.col("reference"), F.col("d.positions"), F.col("d.bases"))).withColumn("as", A.apply_substitutions(F.col("reference"), F.col("m")))
+    for r in df.collect():
+        assert (r.d is None) == (r.m is None)
+        assert r.m is None or [(x.position, x.base, x.expected) for x in r.m] == list(zip(*r.d))
+        assert r["to"] == (r["as"] if r.m is not None else None)
+    beyond = spark.range(1).select(A.substituted(F.lit("ACGT"), F.array(F.lit(9), F.lit(-1), F.lit(0)), F.lit("TTG")))
+    assert beyond.first()[0] == "GCGT"
+
+
+def test_windows_of_qualities_over_many_reads(spark):
+    rng = random.Random(9)
+    held = {i: "".join(chr(33 + rng.choice([2, 18, 21, 40])) for _ in range(rng.randint(0, 30))) for i in range(400)} | {400: None, 401: "I" * 600_000, 402: "!" * 7 + "I" * 5 + "!" * 700_000}
+
+    def cut(q, least, width):
+        v = [ord(c) - 33 for c in q]
+        if len(v) < width:
+            return len(v) if v and sum(v) // len(v) >= least else 0
+        return max((i for i in range(width, len(v) + 1) if sum(v[i - width : i]) // width >= least), default=len(v))
+
+    df = spark.createDataFrame(list(held.items()), "i long, q string").coalesce(1)
+    for least, width in ((20, 5), (35, 1), (30, 9)):
+        plan = df.select("i", S.window_cut(F.col("q"), least, width).alias("n"))
+        assert {r.i: r.n for r in plan.collect()} == {i: None if q is None else cut(q, least, width) for i, q in held.items()}
+    assert "ArrowEvalPython" in plan._jdf.queryExecution().executedPlan().toString()
