@@ -414,3 +414,16 @@ def test_windows_of_qualities_over_many_reads(spark):
         plan = df.select("i", S.window_cut(F.col("q"), least, width).alias("n"))
         assert {r.i: r.n for r in plan.collect()} == {i: None if q is None else cut(q, least, width) for i, q in held.items()}
     assert "ArrowEvalPython" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_alignments_of_many_pairs_equal_single_ones():
+    rng = random.Random(11)
+    text = lambda most, letters="ACGT": "".join(rng.choices(letters, k=rng.randint(0, most)))
+    pairs = [(text(24), text(24)) for _ in range(300)] + [(text(5, "A\0"), text(9, "A\0é\U0001f600")) for _ in range(60)] + [(None, "A"), ("A", None), ("", ""), ("ACGT" * 90, "CGTA" * 80)]
+    for scores in ((2, -1, -2), (1, 0, -1), (3, -2, 0)):
+        assert local_alignment.align_many(*map(list, zip(*pairs)), *scores) == [local_alignment.align(q, r, *scores) for q, r in pairs]
+
+
+def test_smith_waterman_computes_pairs_together(monkeypatch):
+    monkeypatch.setattr(local_alignment, "align", lambda *a: pytest.fail("a small pair was computed alone"))
+    assert local_alignment.align_many(["ACGT"] * 9, ["CGTT"] * 9) == [(6, 1, 4, 0, 3, "3M")] * 9
