@@ -135,7 +135,15 @@ def raw_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _splits(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple[str, int, Split]]:
-    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    # One block is copied at a time, and no batch is held while the next one comes.
+    def blocks() -> Iterator[tuple[str, int, bytes]]:
+        for batch in batches:
+            columns, batch, values = batch.columns, None, None
+            for values in zip(*columns):
+                yield tuple(v.as_py() for v in values)
+            columns = values = None
+
+    rows = blocks()
 
     def inflated(group: Iterator[tuple], first: bool) -> Iterator[bytes]:
         for n, (_, _, data) in enumerate(group):
