@@ -234,7 +234,10 @@ REFERENCES = [(f"chr{i}", 2_000_000_000) for i in range(4)]
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
     number = F.concat(F.lit("i:"), F.col("nm").cast("string"))
-    tags = F.map_filter(F.map_from_arrays(F.array(F.lit("NM"), F.lit("RG")), F.array(number, F.concat(F.lit("Z:g"), _text("mapq")))), lambda k, v: v.isNotNull())
+    # Cases instead of a filter of the map, so that generated code makes it.
+    edits, group = (F.lit("NM"), number), (F.lit("RG"), F.concat(F.lit("Z:g"), _text("mapq")))
+    both = F.when(F.col("mapq").isNull(), F.create_map(*edits)).otherwise(F.create_map(*edits, *group))
+    tags = F.when(F.col("nm").isNotNull(), both).when(F.col("mapq").isNotNull(), F.create_map(*group)).otherwise(F.create_map().cast("map<string,string>"))
     df = _made(alignments(spark, sf), _RECORDS + "{t}")
     return df.select(*_SHOWN, F.lit("ACGTN").alias("sequence"), F.when(F.col("nm") > 5, "!5?I~").alias("quality"), tags.alias("tags"))
 

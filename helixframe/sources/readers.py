@@ -8,10 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.sequence import let
+
 
 def _lines(spark: SparkSession, path: str, comments: bool = True) -> DataFrame:
     """Non-empty lines, right-trimmed; with ``comments`` those that start with ``#`` left out. Compressed files by extension."""
-    line = F.regexp_replace("value", r"\s+$", "")
+    line = F.rtrim("value", F.lit(" \t\n\v\f\r"))
     out = spark.read.text(path).select(line.alias("line")).where("line <> ''")
     return out.where(~F.col("line").startswith("#")) if comments else out
 
@@ -55,9 +57,15 @@ def read_narrowpeak(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _last_wins(pairs: Column) -> Column:
-    """Map of (key, value) pairs whose last value counts."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+    """Map of (key, value) pairs whose last value counts. The pairs are computed once, and searched by key only if one is repeated."""
+
+    def made(p: Column) -> Column:
+        keys = F.transform(p, lambda x: x["k"])
+        last = lambda k: F.element_at(F.filter(p, lambda x: x["k"] == k), -1)["v"]
+        repeated = F.map_from_arrays(F.array_distinct(keys), F.transform(F.array_distinct(keys), last))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(p), F.map_from_arrays(keys, F.transform(p, lambda x: x["v"]))).otherwise(repeated)
+
+    return let(pairs, made)
 
 
 def _split_pairs(text: Column, sep: str, mid: str) -> Column:

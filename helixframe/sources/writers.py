@@ -91,7 +91,7 @@ def fai_lines(df: DataFrame) -> Column:
 
 def _tag_fields(tags: Column) -> Column:
     """A tab and ``key:type:value`` for each tag, by key."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat(F.lit("\t"), e["key"], F.lit(":"), e["value"])), "")
+    return F.array_join(F.transform(F.sort_array(F.map_entries(tags)), lambda e: F.concat(F.lit("\t"), e["key"], F.lit(":"), e["value"])), "")
 
 
 def sam_lines(df: DataFrame) -> Column:

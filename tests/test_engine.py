@@ -427,3 +427,12 @@ def test_alignments_of_many_pairs_equal_single_ones():
 def test_smith_waterman_computes_pairs_together(monkeypatch):
     monkeypatch.setattr(local_alignment, "align", lambda *a: pytest.fail("a small pair was computed alone"))
     assert local_alignment.align_many(["ACGT"] * 9, ["CGTT"] * 9) == [(6, 1, 4, 0, 3, "3M")] * 9
+
+
+def test_tags_of_lines_are_found_once(spark, tmp_path):
+    fixed = "r\t0\t*\t0\t0\t*\t*\t0\t0\t*\t*\t"
+    (tmp_path / "a.sam").write_text(fixed + "NM:i:1\tXX\tRG:Z:a:b\tNM:i:2 \t\n" + fixed + "AS:i:3\r\n \n" + fixed.rstrip("\t") + "\n")
+    plan = readers.read_sam(spark, str(tmp_path / "a.sam"))
+    assert sorted(sorted(r.tags.items()) for r in plan.collect()) == [[], [("AS", "i:3")], [("NM", "i:2"), ("RG", "Z:a:b")]]
+    said = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count("RLIKE") == 1 and "regexp_replace" not in said
