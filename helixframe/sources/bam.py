@@ -14,15 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import alignment as A
-from helixframe.sources import splits
+from helixframe.sources import bam_arrays, splits
+from helixframe.sources.bam_arrays import BASES, OPS
 from helixframe.sources.bgzf import BLOCK, BlockReader, deflate_block
 
 SCHEMA = "name string, flags int, reference string, position int, mapq int, cigar string, mate_reference string, mate_position int, template_length int, sequence string, quality string, tags map<string,string>"
 _TYPES = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
 _NAMES = [c.split(" ")[0] for c in SCHEMA.replace("map<string,string>", "map").split(", ")]
-# Fixed values of the format: base letters, operation letters, and struct codes of tag types.
-BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+# Struct codes of tag types.
 NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+#: Records of a batch that are written at once.
+_MANY = 10_000
 _PAIRS = [a + b for a in BASES for b in BASES]
 
 
@@ -229,6 +231,14 @@ def write_record(row: dict, ids: dict[str, int]) -> bytes:
     return struct.pack("<i", len(data)) + data
 
 
+def write_many(batch: pa.RecordBatch, ids: dict[str, int]) -> bytes:
+    """The records of a batch, one after another."""
+    try:
+        return bam_arrays.written(batch, ids, _split_cigar, write_tags)
+    except bam_arrays.Unusual:
+        return b"".join(write_record(row, ids) for row in batch.to_pylist())
+
+
 def _split_cigar(cigar: str | None) -> list[str]:
     if cigar in (None, "", "*"):
         return []
@@ -245,8 +255,8 @@ def bam_blocks(df: DataFrame, references: list[tuple[str, int]], level: int = 6)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bytearray()
         for batch in batches:
-            for row in batch.to_pylist():
-                held += write_record(row, ids)
+            for at in range(0, batch.num_rows, _MANY):
+                held += write_many(batch.slice(at, _MANY), ids)
                 while len(held) >= BLOCK:
                     yield pa.RecordBatch.from_arrays([pa.array([deflate_block(bytes(held[:BLOCK]), level)], pa.binary())], ["block"])
                     del held[:BLOCK]

@@ -1,7 +1,9 @@
 """Binary and nested formats: round trips, indexes against brute force, and flat files on literals."""
 
+import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +153,52 @@ def test_borders_at_every_block(size):
         _cut(blocks[: len(blocks) // 2] + blocks[len(blocks) // 2 + 1 :], [len(blocks) // 2], bam.RULE)
 
 
+def _many_rows(n):
+    """Records of every kind: absent values, lengths from none on, letters in both cases, all tag types in any order, bins of all levels."""
+    pick = random.Random(7)
+    ends = [-(1 << 31), -32769, -129, -1, 0, 127, 128, 40_000, (1 << 31) - 1, 1 << 31, (1 << 32) - 1]
+    kinds = [lambda: f"i:{pick.choice(ends)}", lambda: f"i:{pick.randrange(99)}", lambda: "Z:" + "é|x:" * pick.randrange(3), lambda: "A:!", lambda: "H:1AE3", lambda: f"f:{pick.random():.3f}", lambda: "B:s,1,-2", lambda: "B:f,1.5", lambda: "B:C,0,255"]
+    rows = []
+    for i in range(n):
+        length = pick.randrange(9)
+        tags = {f"{pick.choice('XYZa')}{pick.choice('AB0')}": pick.choice(kinds)() for _ in range(pick.randrange(6))}
+        cigar = "".join(f"{pick.choice([1, 8, 20_000, 3_000_000])}{c}" for c in pick.sample(bam.OPS, pick.randrange(5))) or pick.choice(["*", None, ""])
+        rows.append({
+            "name": pick.choice(["", "é"]) + f"r{i}", "flags": pick.choice([0, 65_535]), "reference": pick.choice([None, "chr1", "chr2"]), "position": pick.choice([None, -1, 0, 16_383, 131_071, 500_000_000]), "mapq": pick.choice([None, 0, 254]), "cigar": cigar,
+            "mate_reference": pick.choice([None, "chr2"]), "mate_position": pick.choice([None, 0, 7]), "template_length": pick.choice([None, -5, 9]), "sequence": pick.choice(["", None]) if not length else "".join(pick.choices(bam.BASES + "acgtn.", k=length)),
+            "quality": pick.choice([None, "".join(pick.choices("!5I~", k=length))]), "tags": pick.choice([None, {}, tags, tags]),
+        })
+    return rows
+
+
+def _batch(rows):
+    listed = [r | {"tags": None if r["tags"] is None else list(r["tags"].items())} for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in listed], t) for c, t in zip(bam._NAMES, bam._TYPES)], bam._NAMES)
+
+
+def _refuse(*_):
+    raise AssertionError("a usual record was left to the code of one record")
+
+
+@pytest.mark.parametrize("n", [1, 2000])
+def test_bam_many_records(monkeypatch, n):
+    """Many records at once are what each is by itself."""
+    rows, ids = _many_rows(n), {"chr1": 0, "chr2": 1}
+    each = [bam.write_record(r, ids) for r in rows]
+    one = bam.write_record
+    monkeypatch.setattr(bam, "write_record", _refuse)
+    assert bam.write_many(_batch(rows), ids) == b"".join(each)
+    assert bam.write_many(_batch(_many_rows(1) + rows).slice(1), ids) == b"".join(each)
+    monkeypatch.setattr(bam, "write_record", one)
+    # What is unusual, or wrong, in one of them is as it is in one alone.
+    for change in ({"sequence": "é", "quality": None}, {"tags": {"XA": "i:+5"}}, {"cigar": "1M1I" * 33_000}):
+        odd = [*rows[:3], rows[0] | change]
+        assert bam.write_many(_batch(odd), ids) == b"".join(bam.write_record(r, ids) for r in odd)
+    for change in ({"reference": "chr9"}, {"sequence": "AC", "quality": "I"}, {"sequence": "A", "quality": " "}, {"mapq": 256}, {"cigar": "M"}, {"tags": {"XA": "i:0x1"}}, {"tags": {"XA": "i:4294967296"}}, {"tags": {"XA": "q:1"}}, {"name": "n" * 255}, {"flags": None}, {"position": 1_000_000_000, "cigar": "1M"}):
+        with pytest.raises((ValueError, KeyError, struct.error)):
+            bam.write_many(_batch([*rows, rows[0] | change]), ids)
+
+
 def test_bam_long_cigar():
     row = {"name": "n", "flags": 0, "reference": "chr1", "position": 0, "mapq": 3, "cigar": "1M1I" * 35_000, "mate_reference": None, "mate_position": None, "template_length": 0, "sequence": "A" * 70_000, "quality": None, "tags": {}}
     got = bam.read_record(bam.write_record(row, {"chr1": 0})[4:], ["chr1"])
