@@ -41,26 +41,30 @@ def _value(v: float, kind: str) -> str:
     return str(np.float32(v)) if kind == "f" else str(v)
 
 
+def read_tag(data: bytes, at: int) -> tuple[str, str, int]:
+    """The tag at a place, its ``type:value``, integers of any width as ``i``, and where it ends."""
+    tag, kind = data[at : at + 2].decode(), chr(data[at + 2])
+    at += 3
+    if kind == "A":
+        return tag, "A:" + chr(data[at]), at + 1
+    if kind in "ZH":
+        end = data.index(0, at)
+        return tag, f"{kind}:{data[at:end].decode()}", end + 1
+    if kind == "B":
+        of, n = chr(data[at]), struct.unpack_from("<I", data, at + 1)[0]
+        values = struct.unpack_from(f"<{n}{NUMBERS[of]}", data, at + 5)
+        return tag, "B:" + ",".join([of, *(_value(v, of) for v in values)]), at + 5 + n * struct.calcsize(NUMBERS[of])
+    if kind in NUMBERS:
+        v = struct.unpack_from("<" + NUMBERS[kind], data, at)[0]
+        return tag, ("f:" if kind == "f" else "i:") + _value(v, kind), at + struct.calcsize(NUMBERS[kind])
+    raise ValueError(f"unknown tag type {kind}")
+
+
 def read_tags(data: bytes) -> dict[str, str]:
-    """Tags as ``type:value``, integers of any width as ``i``; a repeated tag is an error."""
+    """Tags as ``type:value``; a repeated tag is an error."""
     at, out = 0, {}
     while at < len(data):
-        tag, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind == "A":
-            text, at = "A:" + chr(data[at]), at + 1
-        elif kind in "ZH":
-            end = data.index(0, at)
-            text, at = f"{kind}:{data[at:end].decode()}", end + 1
-        elif kind == "B":
-            of, n = chr(data[at]), struct.unpack_from("<I", data, at + 1)[0]
-            values = struct.unpack_from(f"<{n}{NUMBERS[of]}", data, at + 5)
-            text, at = "B:" + ",".join([of, *(_value(v, of) for v in values)]), at + 5 + n * struct.calcsize(NUMBERS[of])
-        elif kind in NUMBERS:
-            v = struct.unpack_from("<" + NUMBERS[kind], data, at)[0]
-            text, at = ("f:" if kind == "f" else "i:") + _value(v, kind), at + struct.calcsize(NUMBERS[kind])
-        else:
-            raise ValueError(f"unknown tag type {kind}")
+        tag, text, at = read_tag(data, at)
         if tag in out:
             raise ValueError(f"tag {tag} is repeated")
         out[tag] = text
@@ -87,6 +91,15 @@ def read_record(data: bytes, names: list[str]) -> tuple:
     return name, flags, where(ref), some(pos), None if mapq == 255 else mapq, cigar or "*", where(mate), some(mate_pos), size, sequence or None, scores, list(tags.items())
 
 
+def read_many(data: bytes, edges: list[int], names: list[str]) -> list[pa.Array]:
+    """The columns of records that follow one another with their sizes, from their places and the last one's end."""
+    try:
+        return bam_arrays.read(data, edges, names, read_tag)
+    except (bam_arrays.Unusual, struct.error, IndexError, KeyError):
+        rows = [read_record(data[at + 4 : end], names) for at, end in zip(edges, edges[1:])]
+        return [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)]
+
+
 def records(source: BlockReader, names: list[str], end: int | None = None) -> Iterator[tuple]:
     """Records from here to the file's end, or those that start before the virtual offset ``end``."""
     while end is None or source.tell() < end:
@@ -267,21 +280,32 @@ def bam_blocks(df: DataFrame, references: list[tuple[str, int]], level: int = 6)
 
 
 def block_records(blocks: DataFrame, references: list[tuple[str, int]]) -> DataFrame:
-    """Alignment records out of ``block``, in the order in which ``bam_blocks`` made them; a partition's are inflated one by one."""
+    """Alignment records out of ``block``, in the order in which ``bam_blocks`` made them; a partition's are inflated one by one, and read some at a time."""
     names = [n for n, _ in references]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bytearray()
+
+        def whole() -> pa.RecordBatch | None:
+            edges = [0]
+            while len(held) - edges[-1] >= 4 and len(held) >= (end := edges[-1] + 4 + struct.unpack_from("<i", held, edges[-1])[0]):
+                if end < edges[-1] + 36:
+                    raise ValueError("a record is cut off")
+                edges.append(end)
+            out = pa.RecordBatch.from_arrays(read_many(bytes(held[: edges[-1]]), edges, names), _NAMES) if edges[1:] else None
+            del held[: edges[-1]]
+            return out
+
+        wanted = splits.RUN
         for batch in batches:
             for block in batch.column(0):
                 held += BlockReader(block.as_py()).read()
-                at, found = 0, []
-                while len(held) - at >= 4 and len(held) - at - 4 >= (size := struct.unpack_from("<i", held, at)[0]):
-                    found.append(read_record(bytes(held[at + 4 : at + 4 + size]), names))
-                    at += 4 + size
-                del held[:at]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), _TYPES)], _NAMES)
+                if len(held) >= wanted:
+                    if found := whole():
+                        yield found
+                    wanted = len(held) + splits.RUN
+        if found := whole():
+            yield found
         if held:
             raise ValueError("a record is cut off")
 

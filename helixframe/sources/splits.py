@@ -27,6 +27,8 @@ SEPARATOR = deflate_block(b"")[:16]
 CHAIN = 4
 #: Bytes of headers that go to the tasks of one scan; files with more are read by several scans.
 HEADERS = 32 << 20
+#: Inflated bytes that are held, at least, before the records in them are parsed together.
+RUN = 1 << 20
 _RAW = "file string, block bigint, data binary"
 _SEAMS = "file string, block bigint, begun boolean, head binary, tail binary"
 

@@ -2,6 +2,7 @@
 
 import random
 import struct
+from itertools import accumulate
 
 import pyarrow as pa
 import pytest
@@ -182,21 +183,36 @@ def _refuse(*_):
 
 @pytest.mark.parametrize("n", [1, 2000])
 def test_bam_many_records(monkeypatch, n):
-    """Many records at once are what each is by itself."""
+    """Many records at once are what each is by itself, in bytes and in columns."""
     rows, ids = _many_rows(n), {"chr1": 0, "chr2": 1}
     each = [bam.write_record(r, ids) for r in rows]
-    one = bam.write_record
-    monkeypatch.setattr(bam, "write_record", _refuse)
+    edges = [0, *accumulate(map(len, each))]
+    want = [bam.read_record(r[4:], list(ids)) for r in each]
+    one = {f: getattr(bam, f) for f in ("write_record", "read_record")}
+    for f in one:
+        monkeypatch.setattr(bam, f, _refuse)
     assert bam.write_many(_batch(rows), ids) == b"".join(each)
     assert bam.write_many(_batch(_many_rows(1) + rows).slice(1), ids) == b"".join(each)
-    monkeypatch.setattr(bam, "write_record", one)
+    got = bam.read_many(b"".join(each), edges, list(ids))
+    assert [c.type for c in got] == bam._TYPES
+    assert list(zip(*(c.to_pylist() for c in got))) == want
+    for f in one:
+        monkeypatch.setattr(bam, f, one[f])
     # What is unusual, or wrong, in one of them is as it is in one alone.
     for change in ({"sequence": "é", "quality": None}, {"tags": {"XA": "i:+5"}}, {"cigar": "1M1I" * 33_000}):
         odd = [*rows[:3], rows[0] | change]
-        assert bam.write_many(_batch(odd), ids) == b"".join(bam.write_record(r, ids) for r in odd)
+        made = bam.write_many(_batch(odd), ids)
+        assert made == b"".join(bam.write_record(r, ids) for r in odd)
+        at = [*edges[: min(3, n) + 1], len(made)]
+        assert list(zip(*(c.to_pylist() for c in bam.read_many(made, at, list(ids))))) == [*want[: min(3, n)], bam.read_record(made[at[-2] + 4 :], list(ids))]
     for change in ({"reference": "chr9"}, {"sequence": "AC", "quality": "I"}, {"sequence": "A", "quality": " "}, {"mapq": 256}, {"cigar": "M"}, {"tags": {"XA": "i:0x1"}}, {"tags": {"XA": "i:4294967296"}}, {"tags": {"XA": "q:1"}}, {"name": "n" * 255}, {"flags": None}, {"position": 1_000_000_000, "cigar": "1M"}):
         with pytest.raises((ValueError, KeyError, struct.error)):
             bam.write_many(_batch([*rows, rows[0] | change]), ids)
+    for broken in (b"XAi\0\0\0", b"XAZopen", b"XAq\0", b"XAA1XAA1", b"XA", b"XABs\2\0\0\0\0\0", b"XAZ\xff\0"):
+        data = each[0][: -len(bam.write_tags(rows[0]["tags"] or {})) or None] + broken
+        data = struct.pack("<i", len(data) - 4) + data[4:]
+        with pytest.raises((ValueError, IndexError, struct.error)):
+            bam.read_many(data + each[0], [0, len(data), len(data) + len(each[0])], list(ids))
 
 
 def test_bam_long_cigar():
