@@ -23,6 +23,7 @@ _TYPES = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.strin
 _NAMES = [c.split(" ")[0] for c in SCHEMA.replace("map<string,string>", "map").split(", ")]
 # Struct codes of tag types.
 NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+_NUMBER = struct.Struct("<i")
 #: Records of a batch that are written at once.
 _MANY = 10_000
 _PAIRS = [a + b for a in BASES for b in BASES]
@@ -127,10 +128,12 @@ def _header_size(data: bytes) -> int | None:
 
 
 def _record_size(data: bytes, at: int) -> int | None:
-    size = splits.number(data, at)
-    if size is not None and size < 32:
+    if at + 4 > len(data):
+        return None
+    (size,) = _NUMBER.unpack_from(data, at)
+    if size < 32:
         raise ValueError("a record is cut off")
-    return None if size is None else 4 + size
+    return 4 + size
 
 
 def _fits(data: bytes, at: int) -> bool | None:
@@ -175,7 +178,7 @@ def read_bam(spark: SparkSession, path: str, region: tuple[str, int, int] | None
     if region and index:
         out = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
     else:
-        out = splits.read_records(spark, path, RULE, lambda record, names: read_record(record[4:], names), SCHEMA, _NAMES, _TYPES)
+        out = splits.read_records(spark, path, RULE, read_many, SCHEMA, _NAMES)
     if region:
         name, start, end = region
         covered = A.cigar_length(A.parse_cigar(F.col("cigar")))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterable, Iterator
-from itertools import groupby, islice
+from itertools import groupby
 from typing import Any, NamedTuple
 
 import pyarrow as pa
@@ -88,25 +88,34 @@ class Split:
         best = max(undecided, key=lambda at: (self._chain(at)[1], -at), default=None)
         return best if best is not None and self._chain(best)[1] else None
 
-    def records(self) -> Iterator[tuple[bytearray, int, int]]:
-        """The buffer and the place of each whole record in it, which holds until the next one is asked for."""
+    def runs(self) -> Iterator[tuple[bytearray, list[int]]]:
+        """The buffer, the places of the whole records in it and the last one's end, which hold until the next ones are asked for."""
         at = self._begin()
         if at is None:
             self.head = bytes(self.held)
             return
         self.begun, self.head = True, bytes(self.held[:at])
         while True:
-            size = self.rule.size(self.held, at)
-            if size is not None and at + size <= len(self.held):
-                yield self.held, at, at + size
+            edges = [at]
+            while (size := self.rule.size(self.held, at)) is not None and at + size <= len(self.held):
                 at += size
-                continue
+                edges.append(at)
+            if len(edges) > 1:
+                yield self.held, edges
             del self.held[:at]
-            at = 0
-            if not self._more():
+            at, left = 0, len(self.held)
+            while len(self.held) < left + RUN and self._more():
+                pass
+            if len(self.held) == left:
                 break
         self.tail = bytes(self.held)
 
+    def records(self) -> Iterator[tuple[bytearray, int, int]]:
+        """The buffer and the place of each whole record in it, which holds until the next one is asked for."""
+        for held, edges in self.runs():
+            for at, end in zip(edges, edges[1:]):
+                yield held, at, end
+
 
 def close(seams: Iterable[tuple[bool, bytes, bytes]], rule: Rule) -> tuple[bytes, list[bytes]]:
     """A file's header and the records that its borders cut, from (begun, head, tail) of its splits in order."""
@@ -166,7 +175,7 @@ def _written_seams(raw: DataFrame, rule: Rule) -> DataFrame:
 
     def seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, block, split in _splits(batches, rule):
-            for _ in split.records():
+            for _ in split.runs():
                 pass
             row = {"file": file, "block": block, "begun": split.begun, "head": split.head, "tail": split.tail}
             yield pa.RecordBatch.from_pylist([row], pa.schema([("file", pa.string()), ("block", pa.int64()), ("begun", pa.bool_()), ("head", pa.binary()), ("tail", pa.binary())]))
@@ -199,8 +208,8 @@ def _scans(headers: DataFrame) -> Iterator[tuple[dict[str, int], list[bytes]]]:
         yield files, list(known)
 
 
-def read_records(spark: SparkSession, path: str, rule: Rule, parse: Callable[[bytes, Any], tuple], schema: str, names: list[str], types: list[pa.DataType]) -> DataFrame:
-    """The records of all files, as ``parse`` makes them from a record's bytes and what is known from its file's header.
+def read_records(spark: SparkSession, path: str, rule: Rule, parse: Callable[[bytes, list[int], Any], list[pa.Array]], schema: str, names: list[str]) -> DataFrame:
+    """The records of all files, as ``parse`` makes columns of the bytes of some, their places and end, and what is known from their file's header.
 
     The files are inflated twice: at once, for the headers and for what borders cut, and by the result's own scan.
     """
@@ -210,24 +219,21 @@ def read_records(spark: SparkSession, path: str, rule: Rule, parse: Callable[[by
     scans = list(_scans(seams.where("header IS NOT NULL").select("file", "header")))
     for files, headers in scans or [({}, [])]:
 
-        def rows(found: Iterator[tuple[str, bytes]], files: dict[str, int] = files, headers: list[bytes] = headers) -> Iterator[pa.RecordBatch]:
+        def rows(found: Iterator[tuple[str, bytes, list[int]]], files: dict[str, int] = files, headers: list[bytes] = headers) -> Iterator[pa.RecordBatch]:
             known: dict[int, Any] = {}
-
-            def of(file: str) -> Any:
+            for file, data, edges in found:
                 number = files[file]
                 if number not in known:
                     known[number] = rule.known(headers[number])
-                return known[number]
-
-            parsed = (parse(record, of(file)) for file, record in found)
-            while part := list(islice(parsed, 5000)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names)
+                yield pa.RecordBatch.from_arrays(parse(data, edges, known[number]), names)
 
         def inside(batches: Iterator[pa.RecordBatch], rows: Callable = rows) -> Iterator[pa.RecordBatch]:
-            yield from rows((file, bytes(held[at:end])) for file, _, split in _splits(batches, rule) for held, at, end in split.records())
+            runs = ((file, *run) for file, _, split in _splits(batches, rule) for run in split.runs())
+            yield from rows((file, bytes(held[edges[0] : edges[-1]]), [at - edges[0] for at in edges]) for file, held, edges in runs)
 
         def across(batches: Iterator[pa.RecordBatch], rows: Callable = rows) -> Iterator[pa.RecordBatch]:
-            yield from rows(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+            cut = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+            yield from rows((file, record, [0, len(record)]) for file, record in cut)
 
         own = F.col("file").isin(list(files)) if len(scans) > 1 else F.lit(True)
         both = raw.where(own).mapInArrow(inside, schema).unionAll(seams.where(own & F.col("record").isNotNull()).select("file", "record").mapInArrow(across, schema))
@@ -235,6 +241,16 @@ def read_records(spark: SparkSession, path: str, rule: Rule, parse: Callable[[by
     return out
 
 
+def one_by_one(parse: Callable[[bytes, Any], tuple], types: list[pa.DataType]) -> Callable[[bytes, list[int], Any], list[pa.Array]]:
+    """A parser of many records out of one of a record's bytes."""
+
+    def many(data: bytes, edges: list[int], known: Any) -> list[pa.Array]:
+        rows = [parse(data[at:end], known) for at, end in zip(edges, edges[1:])]
+        return [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+
+    return many
+
+
 def read_headers(spark: SparkSession, path: str, rule: Rule) -> DataFrame:
     """``file, header``: what is kept of each file's header, which must end in the file's first split."""
 

@@ -125,6 +125,23 @@ def _cut(blocks, borders, rule):
     return header, sorted(whole + cut)
 
 
+@pytest.mark.parametrize("first", [True, False])
+def test_records_come_in_runs(monkeypatch, first):
+    """Whole records of many blocks at once, also where one is longer than a run, or ends with the bytes that are held."""
+    monkeypatch.setattr(splits, "RUN", 1000)
+    rows = _many_rows(200)
+    rows[90] |= {"sequence": "A" * 3000, "quality": None}
+    records = [bam.write_record(r, {"chr1": 0, "chr2": 1}) for r in rows]
+    data = (b"BAM\x01" + bytes(8) if first else b"") + b"".join(records)
+    for size in (50, len(data) // 2, len(data)):
+        split = splits.Split([data[i : i + size] for i in range(0, len(data), size)] + [b""], bam.RULE, first)
+        runs = [(bytes(held), list(edges)) for held, edges in split.runs()]
+        found = [held[a:b] for held, edges in runs for a, b in zip(edges, edges[1:])]
+        begun = len(records) - len(found)
+        assert found == records[begun:] and split.tail == b"" and split.head == (data[:12] if first else b"".join(records[:begun]))
+        assert len(runs) <= len(data) / 1000 + 2
+
+
 @pytest.mark.parametrize("size", [33, 150, 1000])
 def test_borders_at_every_block(size):
     """Blocks smaller than headers and records, a record over many blocks, tags that look like records; any border, every border."""
